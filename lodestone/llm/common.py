@@ -49,7 +49,7 @@ class Tables:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         schema = df.schema
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", 0).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name_df: DataFrame) -> None:
