@@ -21,5 +21,36 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_quality_rules": op7_quality_rules}
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import packing
+
+    return packing.pack(C.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import pii
+
+    return pii.find(C.documents(spark, sf_dir))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm import token_counts
+
+    return token_counts.token_counts(C.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op3_best_fit_packing,
+        op5_pii,
+        op7_quality_rules,
+        op9_token_counts,
+    )
+}
+#: None of these is expressible in SQL; tests hold them against brute force.
 ORACLES: dict[str, str] = {}
