@@ -41,6 +41,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(C.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import decontaminate
+
+    return decontaminate.find(C.documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import pii
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_toxicity,
         op3_best_fit_packing,
+        op4_benchmark_decontamination,
         op5_pii,
         op6_quality_classifier,
         op7_quality_rules,
