@@ -53,6 +53,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(C.documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fractions import Fraction
+
+    from lodestone.llm import jaccard_join
+
+    return jaccard_join.join(C.documents(spark, sf_dir), k=4, threshold=Fraction(85, 100))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_pii,
         op6_quality_classifier,
         op7_quality_rules,
+        op8_jaccard_join,
         op9_token_counts,
     )
 }
