@@ -27,7 +27,7 @@ from lodestone.llm import common as C
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Pre-tokens that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def ranked_pieces(model_file: str) -> list[tuple[str, float]]:
@@ -41,11 +41,11 @@ def ranked_pieces(model_file: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), -math.log(r + 1) - norm) for r, i in enumerate(own)]
 
 
-class Counter(dict):
-    """Pre-token (with its U+2581): count of pieces."""
+class Counter:
+    """Counts of pieces, remembered by pre-token (with its U+2581)."""
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = True):
-        super().__init__()
+        self.known = C.Recent(lambda word: self.segment(word)[1], REMEMBERED)
         self.byte_fallback = byte_fallback
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.match = ahocorasick.Automaton()
@@ -53,12 +53,6 @@ class Counter(dict):
             self.match.add_word(piece, (len(piece), score))
         self.match.make_automaton()
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = n = self.segment(word)[1]
-        return n
-
     def segment(self, word: str) -> tuple[float, int]:
         n = len(word)
         ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
@@ -89,7 +83,7 @@ class Counter(dict):
         parts = text.replace(SPACE, " ").split(" ")
         if not parts[0]:
             del parts[0]
-        return sum(map(self.__getitem__, [SPACE + p for p in parts]))
+        return sum(map(self.known.__getitem__, [SPACE + p for p in parts]))
 
 
 @lru_cache(maxsize=4)
@@ -102,7 +96,7 @@ def token_counts(docs: DataFrame, model_file: str, byte_fallback: bool = True) -
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         count = counter(model_file, byte_fallback)
-        n = np.fromiter((count.of(t or "") for t in batch.column(1).to_pylist()), np.int64, batch.num_rows)
+        n = np.fromiter((count.of(t.as_py() or "") for t in batch.column(1)), np.int64, batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n)], names=["doc_id", "n_tokens"])
 
     return C.map_text(docs, step, "doc_id long, n_tokens long")
