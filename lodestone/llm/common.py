@@ -186,6 +186,23 @@ def unique_in_rows(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[new], row[new]
 
 
+class Recent(dict):
+    """Remembers what ``find`` gave for at least the last ``most / 2`` different keys that were asked for, and ``most`` at most."""
+
+    def __init__(self, find: Callable, most: int):
+        super().__init__()
+        self.find, self.half, self.older = find, most // 2, {}
+
+    def __missing__(self, key):
+        if (value := self.older.get(key)) is None:
+            value = self.find(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def id_and_text(df: DataFrame, *more: str) -> DataFrame:
     """Only the columns that the operators read, whatever else the table has."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

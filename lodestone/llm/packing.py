@@ -17,6 +17,7 @@ Defined cases: a null or empty text is one piece of one token (the end id); rows
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -33,37 +34,48 @@ CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
-#: Chunks that a worker remembers.
-REMEMBERED = 300_000
+#: Chunks between white space, and runs of letters or marks, that a worker remembers.
+REMEMBERED = 200_000
 
 
-class Encoder(dict):
-    """Chunk between white space: its ids as little-endian unsigned 32-bit bytes. The tokenizer never joins over white space."""
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's for the whole text.
+
+    The tokenizer's pre-tokens never cross white space, so chunks between spaces and newlines are encoded alone and remembered.
+    Most chunks are a run of letters, then one of marks, which are pre-tokens of their own; the tokenizer's model takes those
+    directly. Any other chunk goes through the whole tokenizer."""
+
+    #: Letters that the normalizer only lowers, and marks without an apostrophe.
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!;:?|%$&*#]*)", re.ASCII)
 
     def __init__(self, tokenizer_file: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.by_run = C.Recent(self.of_run, REMEMBERED)
+        self.by_chunk = C.Recent(self.of_chunk, REMEMBERED)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > REMEMBERED:
-            self.clear()
-        if new := list({p for x in parts for p in x if p not in self}):
-            for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[chunk] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.__getitem__
-        return [b"".join(map(get, x)) for x in parts]
+    def of_run(self, run: str) -> bytes:
+        mapped = run if run.isascii() else self.to_bytes(run)[0][0]
+        return np.asarray([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
 
+    def of_chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        if m := self.plain.fullmatch(chunk):
+            return (self.by_run[m[1].lower()] if m[1] else b"") + (self.by_run[m[2]] if m[2] else b"")
+        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-@lru_cache(maxsize=4)
-def encoder(tokenizer_file: str) -> Encoder:
-    import os
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.by_chunk.__getitem__, text.replace("\n", " ").split(" ")))
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+@lru_cache(maxsize=2)
+def encoder(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
 
 
@@ -73,8 +85,9 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY) -> Da
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column(0).to_pylist()
         out: list[tuple] = []
-        for doc_id, data in zip(ids, encoder(tokenizer_file).encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-            data += end
+        encode = encoder(tokenizer_file).encode
+        for doc_id, text in zip(ids, batch.column(1), strict=True):
+            data = encode(text.as_py() or "") + end
             for k, at in enumerate(range(0, len(data), 4 * capacity)):
                 part = data[at : at + 4 * capacity]
                 out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
