@@ -114,11 +114,17 @@ def _sampled(docs: DataFrame, labels: DataFrame, mod: int, rest: int, sample: in
             lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x))) for x in (ids, counts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["doc_id", "y", "f", "c"])
 
-    found = C.labelled(docs, labels, "quality", mod, rest, sample).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>, c array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return [(np.asarray(f, np.int64), np.asarray(c, np.float32)) for f, c in zip(found["f"], found["c"], strict=True)], found["y"].to_numpy(np.float64)
+    found = C.labelled(docs, labels, "quality", mod, rest, sample).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>, c array<int>").toArrow()
+    rows = []
+    for chunk in found.to_batches():  # views of the Arrow buffers, no copies
+        off = chunk.column(2).offsets.to_numpy()
+        f, c = chunk.column(2).values.to_numpy(), chunk.column(3).values.to_numpy()
+        rows += list(zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), ((f[a:b], c[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)), strict=True))
+    rows.sort(key=lambda r: (r[0], r[1]))
+    return [r[2] for r in rows], np.asarray([r[1] for r in rows], np.float64)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = 5_000, features_of_row: int = 3_000, mod: int = 4, rest: int = 2, threshold: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = 3_000, features_of_row: int = 2_000, mod: int = 4, rest: int = 2, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document. Learns from at most ``sample`` labelled rows not held out."""
     model = fit(*_sampled(docs, labels, mod, rest, sample, features_of_row))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -189,7 +189,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int
     return [flat[a:b].astype(np.int64) for a, b in zip(off[:-1], off[1:], strict=True)], found.column("y").to_numpy().astype(np.float64)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = 8_000, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, mod: int = 5, rest: int = 0, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = 4_000, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, mod: int = 5, rest: int = 0, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document. Learns from at most ``sample`` labelled rows not held out."""
     import pyarrow.compute  # noqa: F401
 
