@@ -1,8 +1,56 @@
-"""Corpus preparation: toxicity, line dedup, near-duplicate join, benchmark decontamination, packing."""
+"""Corpus preparation in five stages; each takes (spark, docs, sf_dir) and its result is written and read as the next one's docs."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from fractions import Fraction
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import common, decontaminate, jaccard_join, line_dedup, packing, toxicity
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is not among ``ids``; rows without an id stay."""
+    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier marks go. It scores and filters in one pass, as the score is a column of the row."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, labels)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group, by five-word shingles with a Jaccard index of 0.8 or more, the document of the least id stays."""
+    found = jaccard_join.join(docs, k=5, threshold=Fraction(8, 10))
+    return _without(docs, found.filter("component_id <> doc_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; the search is a narrow pass, and only their ids are joined."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.filter("contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxic), ("line_dedup", lines), ("jaccard_join", near_duplicates), ("decontamination", benchmark), ("packing", packed)]
+#: The classifier, the tokenizer and the sketches are not expressible in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = common.Tables(spark)
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = tables.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

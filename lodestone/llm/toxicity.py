@@ -189,15 +189,29 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int
     return [flat[a:b].astype(np.int64) for a, b in zip(off[:-1], off[1:], strict=True)], found.column("y").to_numpy().astype(np.float64)
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = 4_000, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, mod: int = 5, rest: int = 0, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document. Learns from at most ``sample`` labelled rows not held out."""
-    import pyarrow.compute  # noqa: F401
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4_000, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, mod: int = 5, rest: int = 0) -> Model:
+    """Learns from at most ``sample`` labelled rows not held out."""
+    return fit(*_sampled(docs, labels, "toxic", mod, rest, sample), terms=terms)
 
-    model = fit(*_sampled(docs, labels, "toxic", mod, rest, sample), terms=terms)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def score(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, threshold: float = 0.5, **training) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, mod=mod, rest=rest, **training))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(*C.offsets_of(batch.column(1))))], names=["doc_id", "score"])
 
     found = C.map_text(docs, step, "doc_id long, score double")
     return found.select("doc_id", C.held_out(mod, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **training) -> DataFrame:
+    """The documents, in their columns, that score below the threshold: one narrow pass, nothing is joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **training))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in C.slices(batches):
+            yield b.filter(pa.array(shared.value.scores(*C.offsets_of(b.column(at))) < threshold))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
