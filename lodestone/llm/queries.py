@@ -27,6 +27,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import suffix_dedup
+
+    return suffix_dedup.dedup(C.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import toxicity
 
@@ -78,6 +84,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_toxicity,
         op3_best_fit_packing,
         op4_benchmark_decontamination,
