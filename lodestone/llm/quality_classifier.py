@@ -40,8 +40,7 @@ def features(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for n in NGRAMS:
         if len(raw) >= n:
             where = np.searchsorted(off[1:], np.arange(len(raw) - n + 1), side="right")
-            first = np.flatnonzero(where == np.concatenate([where, np.full(n - 1, -1)])[n - 1 : n - 1 + len(where)]) if n > 1 else np.arange(len(where))
-            first = first[first + n <= off[1:][where[first]]]
+            first = np.flatnonzero(np.arange(len(where)) + n <= off[1:][where])
             ids.append(C.mix(at(first, first + n) + np.uint64(n)) >> np.uint64(64 - BITS))
             rows.append(where[first])
     return np.concatenate(ids).astype(np.int64), np.concatenate(rows)

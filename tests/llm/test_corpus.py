@@ -308,7 +308,7 @@ def test_field_on_other_fillings():
 
 
 def test_field_adds_what_patterns_miss(spark):
-    r = pii.find(frame(spark, ["please call (988) 555-2485-11 today", "in 1999 we had 477743168656 of them"])).orderBy("doc_id").collect()
+    r = pii.find(frame(spark, ["please call (988) 555-2485 today", "in 1999 we had 477743168656 of them"])).orderBy("doc_id").collect()
     assert "phone" in r[0]["spans"] and r[1]["spans"] == ""
 
 
@@ -452,7 +452,7 @@ def test_token_counts(spark, docs, texts, empty):
     assert [count.of(t) for t in odd] == [len(tok.encode(t, add_special_tokens=False).ids) for t in odd]
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, P.path("piece_bpe_32k.model")).collect()}
     full = token_counts.Counter(pieces)
-    assert got == {i: full.of(t or "") for i, t in enumerate(texts)} and full.of("🙂") >= 4
+    assert got == {i: full.of(t or "") for i, t in enumerate(texts)} and full.of("\U00013000") == 5
     assert token_counts.token_counts(empty, P.path("piece_bpe_32k.model")).count() == 0
 
 
