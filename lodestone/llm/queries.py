@@ -50,7 +50,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import decontaminate
 
-    return decontaminate.find(C.documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find(C.documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), F.array_join(F.transform("item_ids", lambda i: i.cast("string")), ",").alias("items"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +97,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
     )
 }
-#: None of these is expressible in SQL; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingled_sql(name: str, words: str, k: int, key: str, table: str) -> str:
+    """A table (key, s) of the distinct shingles of k words, or of all words if they are fewer."""
+    run = f"list_transform(range(1, greatest(len(w) - {k} + 2, 2)), lambda i: array_to_string(w[i:i + {k - 1}], chr(10)))"
+    return f"{name} AS (SELECT DISTINCT {key}, unnest({run}) AS s FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) > 0)"
+
+
+_BARE = "list_filter(list_transform(" + _WORDS.format(_LOWER.format("text")) + ", lambda x: trim(x, '.,;:!?\"''()[]{}|*#$%&<>')), lambda x: x <> '')"
+#: The other operators are not expressible in SQL; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op4_benchmark_decontamination": (
+        f"WITH {_shingled_sql('d', _BARE, 5, 'doc_id', 'documents')}, {_shingled_sql('q', _BARE, 5, 'item_id', 'benchmark')}, n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id), "
+        "h AS (SELECT doc_id, item_id, count(*) AS c FROM d JOIN q USING (s) GROUP BY doc_id, item_id), f AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM h JOIN n USING (item_id) WHERE 10 * c >= 8 * n GROUP BY doc_id) "
+        "SELECT doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items FROM documents LEFT JOIN f USING (doc_id)"
+    ).replace("doc_id, f.doc_id IS NOT NULL", "documents.doc_id, f.doc_id IS NOT NULL"),
+    "op8_jaccard_join": (
+        f"WITH RECURSIVE {_shingled_sql('d', _WORDS.format(_LOWER.format('text')), 4, 'doc_id', 'documents')}, n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id), "
+        "p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM d x JOIN d y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2), "
+        "l AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 85 * (m.n + o.n - c)), "
+        "r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), "
+        "g AS (SELECT a, min(b) AS g FROM r GROUP BY a) "
+        "SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, least(t.doc_id, coalesce(g.g, t.doc_id)) AS component_id FROM documents t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN g ON g.a = t.doc_id"
+    ),
+}
