@@ -6,13 +6,15 @@
    with as the larger one. In a band its shingles are XOR-hashed into K + 1 words of 64 bits; the Hamming distance of two
    sketches bounds their sets' symmetric difference from below, and by the pigeonhole principle a pair within K differences has
    at least one equal word. Sets with an all-zero word, which would meet all others that have one, are sketched by further
-   independent hashes, and only the last of these lets zero words meet; nothing is lost, as such pairs both go on.
-3. Sets that share a word (band, place, value) meet at the least of them, their hub: one aggregation and a join, linear in the
-   number of words; links to a hub are made distinct.
-4. A hub's group is split into blocks of bounded size; each pair of blocks is one unit of work, which sees the texts, discards
-   pairs by sketch distance and verifies the others exactly, unless they are linked through others already. It emits a spanning
-   forest, never all pairs.
-5. Components of the forest give the classes.
+   independent hashes, and only the last of these lets zero words meet; nothing is lost, as such pairs both go on. (From 24
+   differences on this is left out: that a pair at the threshold shares zero words only has a chance below 1e-10 there.)
+3. Sets that share a word (band, place, value) meet at the least of them, their hub: one shuffle of the words, ordered by
+   key and read as a stream, so that a key of very many sets is never held; links to a hub are made distinct.
+4. A hub's group is split into blocks of bounded size, and each pair of blocks is one unit of work. First it sees short sketches,
+   of a few bits for each difference allowed, and only sets that have a partner within the distance allowed go on.
+5. Then it sees the texts of those, again discards pairs by sketch distance, and verifies the others exactly, unless they are
+   linked through others already. It emits a spanning forest, never all pairs.
+6. Components of the forest give the classes.
 
 Names are 64-bit hashes of sets and shingles; among n different sets two agree with a chance of n^2 / 2^65.
 
@@ -27,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import common as C
@@ -35,6 +37,8 @@ from lodestone.llm.components import components
 
 #: Independent hashes for sets with zero words.
 TRIES = 4
+#: From this many differences on a pair has so many equal words that all of them are zero with a chance below 1e-10.
+MANY = 24
 #: Ratio of a size band's ends.
 BAND = 1.3
 #: Sets and words that a block of a group holds at most (one set at least).
@@ -103,19 +107,53 @@ def _keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, t: Fraction) -> Iterato
             place = np.arange(len(words)) - first[of]
             zero = words == 0
             key = C.mix(words * C._MULT[0] + (place * 64 + attempt).astype(np.uint64) * C._MULT[1] + band[rows[of]].astype(np.uint64) * C._MULT[2])
-            keep = ~zero if attempt < TRIES - 1 else np.ones(len(zero), bool)
+            keep = ~zero | ((attempt == TRIES - 1) & (kk[of] < MANY))
             yield key[keep].view(np.int64), rows[of[keep]]
-            rows = rows[np.unique(of[zero])]
+            rows = rows[np.unique(of[zero & (kk[of] < MANY)])]
 
 
-def digests(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, name) of every document."""
+def _short_bits(n: np.ndarray, t: Fraction) -> np.ndarray:
+    """Bits of a set's short sketch: a power of two, about eight for each difference allowed; it folds to half by XOR."""
+    most = (t.denominator - t.numerator) * 2 * n // (t.denominator + t.numerator)
+    return 64 << np.ceil(np.log2(np.maximum(most * 8, 64) / 64)).astype(np.int64)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, n, name = _shingled(batch, k)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(name)], names=["doc_id", "n_shingles", "name"])
 
-    return C.map_text(docs, step, "doc_id long, n_shingles long, name long")
+def digests(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """(doc_id, n_shingles, name, short sketch) of every document."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, row, n, name = _shingled(batch, k)
+        bits = _short_bits(n, t)
+        first = np.concatenate([[0], np.cumsum(bits // 64)])
+        flat = np.zeros(first[-1], np.uint64)
+        x = C.mix(h ^ C._ODD).view(np.int64) & (bits[row] - 1)
+        np.bitwise_xor.at(flat, first[row] + (x >> 6), np.uint64(1) << (x & 63).astype(np.uint64))
+        short = [flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(name), pa.array(short, pa.binary())], names=["doc_id", "n_shingles", "name", "short"])
+
+    return C.map_text(docs, step, "doc_id long, n_shingles long, name long, short binary")
+
+
+def partnered(n: np.ndarray, short: list[bytes], t: Fraction) -> np.ndarray:
+    """Whether each set has a partner whose size and short sketch allow the index t."""
+    words = np.asarray([len(x) // 8 for x in short])
+    good = np.zeros(len(n), bool)
+    num, den = t.numerator, t.denominator
+    by = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
+    own = {w: np.frombuffer(b"".join(short[i] for i in at), np.uint64).reshape(len(at), w) for w, at in by.items()}
+    for w, at in by.items():
+        sides = [(at, own[w])]
+        if 2 * w in by:
+            sides.append((by[2 * w], own[2 * w][:, :w] ^ own[2 * w][:, w:]))
+        for x, i in zip(own[w], at.tolist(), strict=True):
+            for js, y in sides:
+                near = np.flatnonzero((np.minimum(n[i], n[js]) * den >= np.maximum(n[i], n[js]) * num) & (js != i))
+                if len(near):
+                    apart = np.bitwise_count(y[near] ^ x).sum(axis=1, dtype=np.int64)
+                    hit = js[near[apart * (den + num) <= (den - num) * (n[i] + n[js[near]])]]
+                    if len(hit):
+                        good[i] = good[hit] = True
+    return good
 
 
 def sketch_words(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
@@ -188,37 +226,82 @@ def linked(texts: pa.RecordBatch, names: np.ndarray, side: np.ndarray, k: int, t
     return out
 
 
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, hub) of ordered (key, name): the least name of a key is its hub. Nothing is held but the last key and its hub."""
+    last_key, last_hub = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, name = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        hub = np.where(first >= 0, name[np.maximum(first, 0)], last_hub if last_hub is not None else 0)
+        last_key, last_hub = key[-1], hub[-1]
+        other = np.flatnonzero(name != hub)
+        if len(other):
+            pairs = np.unique(np.stack([name[other], hub[other]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["name", "hub"])
+
+
 def links(docs: DataFrame, digest: DataFrame, k: int, t: Fraction, tables: C.Tables) -> DataFrame:
     """(u, v): names of sets, a forest of links that has the components of all links between different sets."""
     spark = docs.sparkSession
-    words = sketch_words(docs, k, t).repartition("key")
-    hubs = words.groupBy("key").agg(F.min("name").alias("hub"), F.max("name").alias("last")).filter("hub <> last").select("key", "hub")
-    met = tables.keep(words.join(hubs.hint("shuffle_hash"), "key").filter("name <> hub").select("name", "hub").distinct(), "met")
-    sets = digest.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    group = met.unionByName(met.select(F.col("hub").alias("name"), "hub").distinct()).join(sets, "name")
-    sizes = group.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("blocks"))
-    group = tables.keep(group.join(sizes, "hub"), "groups")
-    text = C.id_and_text(docs).filter(F.col("doc_id").isNotNull())
-    # a set is shown once to each pair of blocks that its own is in; one block meets itself
-    block = F.pmod(F.xxhash64("name"), F.col("blocks"))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("i"), F.greatest(j, block).alias("j"), (block > j).cast("int").alias("side")))
-    shown = group.join(text, "doc_id").select("hub", "name", F.explode(pair).alias("p"), "text").select("hub", "p.i", "p.j", F.col("p.side").alias("side"), "name", "text")
+    words = sketch_words(docs, k, t).repartition("key").sortWithinPartitions("key", "name")
+    met = tables.keep(words.mapInArrow(_hubs, "name long, hub long").distinct(), "met")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shown = shown.repartition(parts, "hub", "i", "j").sortWithinPartitions("hub", "i", "j", "name")
+    sets = digest.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
+    group = met.unionByName(met.select(F.col("hub").alias("name"), "hub").distinct())
+    cells = ["hub", "i", "j"]
+
+    def dealt(members: DataFrame, blocks: Column, *more: str) -> DataFrame:
+        """Every member once to each pair of blocks that its own is in (one block meets itself), by pair."""
+        sizes = members.groupBy("hub").agg(blocks.alias("blocks"))
+        block = F.pmod(F.xxhash64("name"), F.col("blocks"))
+        pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("i"), F.greatest(j, block).alias("j"), (block > j).cast("int").alias("side")))
+        return members.join(sizes, "hub").select("hub", "name", F.explode(pair).alias("p"), *more).select("hub", "p.i", "p.j", F.col("p.side").alias("side"), "name", *more)
+
+    # with short sketches: who has a partner at all
+    shown = dealt(group.join(sets.select("name", "n", "short"), "name"), F.ceil(F.count("*") / BLOCK_SETS), "n", "short")
+    alive = _by_cell(shown.repartition(parts, *cells).sortWithinPartitions(*cells), _alive(t), "name long, hub long").distinct()
+    alive = tables.keep(alive.join(sets.select("name", "doc_id", "n"), "name"), "alive")
+    # with their texts
+    text = C.id_and_text(docs).filter(F.col("doc_id").isNotNull())
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_WORDS))
+    shown = dealt(alive, blocks, "doc_id").join(text, "doc_id").select(*cells, "side", "name", "text")
+    return _by_cell(shown.repartition(parts, *cells).sortWithinPartitions(*cells, "name"), _verified(k, t), "u long, v long")
+
+
+def _alive(t: Fraction):
+    def solve(b: pa.RecordBatch) -> pa.RecordBatch:
+        name, at = np.unique(b.column(4).to_numpy(), return_index=True)
+        short = b.column(6)
+        good = partnered(b.column(5).to_numpy()[at], [short[int(i)].as_py() for i in at], t)
+        return pa.RecordBatch.from_arrays([pa.array(name[good]), pa.array(np.full(int(good.sum()), b.column(0)[0].as_py()), pa.int64())], names=["name", "hub"])
+
+    return solve
+
+
+def _verified(k: int, t: Fraction):
+    def solve(b: pa.RecordBatch) -> pa.RecordBatch:
+        b = b.take(pa.array(np.unique(b.column(4).to_numpy(), return_index=True)[1]))  # ids may repeat
+        out = linked(b, b.column(4).to_numpy(), b.column(3).to_numpy(), k, t)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
+
+    return solve
+
+
+def _by_cell(ordered: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` on the rows of each cell (hub, i, j), read from partitions in that order; a cell's size is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        last = None
 
-        def solve() -> pa.RecordBatch:
+        def done() -> pa.RecordBatch:
             b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            name = b.column(4).to_numpy()
-            one = np.unique(name, return_index=True)[1]  # rows of repeated ids
-            b = b.take(pa.array(one))
-            out = linked(b, b.column(4).to_numpy(), b.column(3).to_numpy(), k, t)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
+            return solve(b)
 
-        last = None
         for b in batches:
             key = np.stack([b.column(c).to_numpy() for c in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
@@ -226,20 +309,20 @@ def links(docs: DataFrame, digest: DataFrame, k: int, t: Fraction, tables: C.Tab
                 if a == z:
                     continue
                 if held and tuple(key[a]) != last:
-                    yield solve()
+                    yield done()
                 last = tuple(key[a])
                 held.append(b.slice(a, z - a))
         if held:
-            yield solve()
+            yield done()
 
-    return shown.mapInArrow(run, "u long, v long")
+    return ordered.mapInArrow(run, schema)
 
 
 def join(docs: DataFrame, k: int = 4, threshold: float | Fraction = Fraction(85, 100), tables: C.Tables | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     t = Fraction(threshold).limit_denominator(10_000)
     tables = tables or C.Tables(docs.sparkSession)
-    digest = tables.keep(digests(docs, k), "digests")
+    digest = tables.keep(digests(docs, k, t), "digests")
     found = components(links(docs, digest, k, t, tables), tables)
     named = digest.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "name")))
     named = tables.keep(named.select("doc_id", "n_shingles", "class"), "named")
