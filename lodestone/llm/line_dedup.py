@@ -9,7 +9,8 @@
    A line with fewer has one band of all it has.
 4. Lines of a band meet its hub, the most frequent of them (an edited copy is rarer than what it was copied from): an aggregation
    and a join, linear in the lines however many share a band.
-5. Each pair is verified: the exact Jaccard index of the sets of all character shingles.
+5. Pairs whose twelve least hashes agree in fewer than half are left out (a pair at the threshold does so with a chance of about
+   0.001), and each other pair is verified: the exact Jaccard index of the sets of all character shingles.
 6. Components of verified pairs, by alternating stars. The line at the least (doc_id, line_no) of a component stays.
 
 Defined cases: a null text has no lines; an empty one has one line, which stays; rows with the same doc_id and line number share
@@ -27,6 +28,8 @@ from lodestone.llm.components import components
 LEAST_CHARS, SHINGLE, THRESHOLD = 20, 5, 0.8
 #: Characters of the shingles that begin words, for signatures.
 WORD_SHINGLE = 8
+#: Hashes that are kept of a line.
+SKETCH = 12
 _PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
 
 
@@ -36,16 +39,15 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def _least(line: Column) -> Column:
-    """The four least hashes of the shingles that begin words."""
+    """The least hashes of the shingles that begin words, ascending."""
     begins = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{WORD_SHINGLE - 1}}}))"), F.lit(1))
-    return F.slice(F.array_distinct(F.sort_array(F.transform(begins, lambda s: F.xxhash64(s)))), 1, 4)
+    return F.slice(F.array_distinct(F.sort_array(F.transform(begins, lambda s: F.xxhash64(s)))), 1, SKETCH)
 
 
 def signed(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line_no, name, s0..s3): name is null for a line that takes no part."""
+    """(doc_id, line_no, name, s): name is null for a line that takes no part; s are its least hashes."""
     part = F.length("line") >= least
-    found = lines(docs).withColumn("name", F.when(part, F.xxhash64("line"))).withColumn("s", F.when(part, _least(F.col("line"))))
-    return found.select("doc_id", "line_no", "name", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(4)])
+    return lines(docs).select("doc_id", "line_no", F.when(part, F.xxhash64("line")).alias("name"), F.when(part, _least(F.col("line"))).alias("s"))
 
 
 def _shingles(line: Column, k: int) -> Column:
@@ -63,7 +65,7 @@ def judged(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE, threshol
     """(doc_id, line_no, kept, keeper_doc_id, keeper_line_no) of every line."""
     tables = tables or C.Tables(docs.sparkSession)
     all_lines = tables.keep(signed(docs, least), "lines")
-    named = all_lines.filter("name is not null")
+    named = all_lines.filter("name is not null").select("name", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(4)])
     firsts = [F.first(f"s{i}").alias(f"s{i}") for i in range(4)]
     distinct = named.groupBy("name").agg(F.count("*").alias("n"), *firsts)
     # at least four hashes: the six pairs; fewer: one band of those there are
@@ -72,8 +74,11 @@ def judged(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE, threshol
     band = distinct.select(F.struct((-F.col("n")).alias("n"), F.col("name").alias("name")).alias("line"), F.explode(keys).alias("key"))
     hubs = band.groupBy("key").agg(F.min("line").alias("hub"), F.max("line").alias("last")).filter("hub <> last").select("key", F.col("hub.name").alias("hub"))
     met = tables.keep(band.join(hubs, "key").select(F.col("line.name").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct(), "met")
-    # the texts of lines that met: each name's first place, then that document's line
-    wanted = met.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+    of = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+    sketch = tables.keep(all_lines.select("name", "s").join(of(met), "name", "left_semi").groupBy("name").agg(F.first("s").alias("s")), "sketches")
+    near = met.join(sketch.select(F.col("name").alias("u"), F.col("s").alias("a")), "u").join(sketch.select(F.col("name").alias("v"), F.col("s").alias("b")), "v")
+    met = tables.keep(near.filter(2 * F.size(F.array_intersect("a", "b")) >= F.least(F.size("a"), F.size("b"))).select("u", "v"), "near")
+    wanted = of(met)
     texts = lines(docs).filter(F.length("line") >= least).select(F.xxhash64("line").alias("name"), "line").join(wanted, "name", "left_semi").groupBy("name").agg(F.first("line").alias("line"))
     texts = tables.keep(texts, "texts")
     pairs = met.join(texts.select(F.col("name").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("name").alias("v"), F.col("line").alias("b")), "v")
