@@ -11,7 +11,7 @@
 3. Sets that share a word (band, place, value) meet at the least of them, their hub: one shuffle of the words, ordered by
    key and read as a stream, so that a key of very many sets is never held; links to a hub are made distinct.
 4. A hub's group is split into blocks of bounded size, and each pair of blocks is one unit of work. First it sees short sketches,
-   of a few bits for each difference allowed, and only sets that have a partner within the distance allowed go on.
+   of a few bits for each difference allowed, and only sets that have a partner within the distance allowed go on, by component.
 5. Then it sees the texts of those, again discards pairs by sketch distance, and verifies the others exactly, unless they are
    linked through others already. It emits a spanning forest, never all pairs.
 6. Components of the forest give the classes.
@@ -37,6 +37,8 @@ from lodestone.llm.components import components
 
 #: Independent hashes for sets with zero words.
 TRIES = 4
+#: Documents whose shingles are counted to tell frequent ones.
+FREQUENCY_SAMPLE = 4_000
 #: From this many differences on a pair has so many equal words that all of them are zero with a chance below 1e-10.
 MANY = 24
 #: Ratio of a size band's ends.
@@ -80,8 +82,8 @@ def sketch(h: np.ndarray, row: np.ndarray, rows: int, k: np.ndarray, attempt: in
     return out, first[:rows]
 
 
-def _keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, row) of the words of every row in every band that it takes part in."""
+def _keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, t: Fraction, tag: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, row) of the words of every row in every band that it takes part in; n are the sizes of the whole sets."""
     if not len(n) or not n.max():
         return
     low, high, k = bands(t, int(n.max()))
@@ -106,7 +108,7 @@ def _keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, t: Fraction) -> Iterato
             of = np.repeat(np.arange(len(rows)), kk + 1)
             place = np.arange(len(words)) - first[of]
             zero = words == 0
-            key = C.mix(words * C._MULT[0] + (place * 64 + attempt).astype(np.uint64) * C._MULT[1] + band[rows[of]].astype(np.uint64) * C._MULT[2])
+            key = C.mix(words * C._MULT[0] + (place * 64 + attempt).astype(np.uint64) * C._MULT[1] + band[rows[of]].astype(np.uint64) * C._MULT[2] + np.uint64(tag) * C._MULT[3])
             keep = ~zero | ((attempt == TRIES - 1) & (kk[of] < MANY))
             yield key[keep].view(np.int64), rows[of[keep]]
             rows = rows[np.unique(of[zero & (kk[of] < MANY)])]
@@ -134,10 +136,17 @@ def digests(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     return C.map_text(docs, step, "doc_id long, n_shingles long, name long, short binary")
 
 
-def partnered(n: np.ndarray, short: list[bytes], t: Fraction) -> np.ndarray:
-    """Whether each set has a partner whose size and short sketch allow the index t."""
+class _Forest(dict):
+    def root(self, x: int) -> int:
+        while (up := self.setdefault(x, x)) != x:
+            self[x] = x = self.setdefault(up, up)
+        return x
+
+
+def partners(n: np.ndarray, short: list[bytes], t: Fraction) -> np.ndarray:
+    """A spanning forest (pairs of places) of the pairs whose sizes and short sketches allow the index t."""
     words = np.asarray([len(x) // 8 for x in short])
-    good = np.zeros(len(n), bool)
+    forest, out = _Forest(), []
     num, den = t.numerator, t.denominator
     by = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
     own = {w: np.frombuffer(b"".join(short[i] for i in at), np.uint64).reshape(len(at), w) for w, at in by.items()}
@@ -147,17 +156,36 @@ def partnered(n: np.ndarray, short: list[bytes], t: Fraction) -> np.ndarray:
             sides.append((by[2 * w], own[2 * w][:, :w] ^ own[2 * w][:, w:]))
         for x, i in zip(own[w], at.tolist(), strict=True):
             for js, y in sides:
-                near = np.flatnonzero((np.minimum(n[i], n[js]) * den >= np.maximum(n[i], n[js]) * num) & (js != i))
+                near = np.flatnonzero((np.minimum(n[i], n[js]) * den >= np.maximum(n[i], n[js]) * num) & ((js > i) if js is at else True))
                 if len(near):
                     apart = np.bitwise_count(y[near] ^ x).sum(axis=1, dtype=np.int64)
-                    hit = js[near[apart * (den + num) <= (den - num) * (n[i] + n[js[near]])]]
-                    if len(hit):
-                        good[i] = good[hit] = True
-    return good
+                    for j in js[near[apart * (den + num) <= (den - num) * (n[i] + n[js[near]])]].tolist():
+                        a, b = forest.root(i), forest.root(j)
+                        if a != b:
+                            forest[a] = b
+                            out.append((i, j))
+    return np.asarray(out, np.int64).reshape(-1, 2)
+
+
+def frequent_shingles(docs: DataFrame, k: int, sample: int = FREQUENCY_SAMPLE, least: int = 3, most: int = 200_000) -> np.ndarray:
+    """Shingles of at least ``least`` of ``sample`` documents, in order. Whichever they are, the join's result is the same."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(_shingled(batch, k)[0].view(np.int64))], names=["h"])
+
+    found = C.map_text(C.id_and_text(docs).join(F.broadcast(ids.distinct()), "doc_id"), step, "h long")
+    rows = found.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.col("n").desc(), "h").limit(most).select("h").toArrow()
+    return np.sort(rows.column("h").to_numpy().view(np.uint64))
 
 
 def sketch_words(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """(key, name) of every word of every set's sketches, once in a task."""
+    """(key, name) of every word of every set's sketches, once in a task.
+
+    Frequent shingles stay out of the sketches: a set's difference from another is no larger without them, so the bound on
+    equal words holds, and words that agree then hold something rare. Sets of mostly frequent shingles are sketched whole; of
+    a pair, if one has at most half of its shingles rare, both have at most (1.5 - t) / t, and both are sketched whole."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -170,21 +198,19 @@ def sketch_words(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                 if n[i] and x not in seen:
                     seen.add(x)
                     fresh[i] = True
-            mine = fresh[row]
-            for key, at in _keys(h[mine], row[mine], np.where(fresh, n, 0), t):
-                for a in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(name[at[a : a + 200_000]])], names=["key", "name"])
+            often = frequent.value
+            rare = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] != h if len(often) else np.ones(len(h), bool)
+            n_rare = np.bincount(row[rare], minlength=len(n))
+            whole = fresh & (n_rare * 2 * t.numerator <= n * (3 * t.denominator - 2 * t.numerator))
+            for tag, use, take in ((0, fresh & (2 * n_rare > n), rare), (1, whole if len(often) else whole & False, np.ones(len(h), bool))):
+                mine = use[row] & take
+                for key, at in _keys(h[mine], row[mine], np.where(use, n, 0), t, tag):
+                    for a in range(0, len(key), 200_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(name[at[a : a + 200_000]])], names=["key", "name"])
 
     return C.id_and_text(docs).mapInArrow(run, "key long, name long")
 
 
-class _Forest(dict):
-    def root(self, x: int) -> int:
-        while (up := self.setdefault(x, x)) != x:
-            self[x] = x = self.setdefault(up, up)
-        return x
-
-
 def linked(texts: pa.RecordBatch, names: np.ndarray, side: np.ndarray, k: int, t: Fraction) -> list[tuple[int, int]]:
     """A spanning forest of the links among the rows; with two sides (0 and 1), of those across."""
     h, row, n, _ = _shingled(texts, k)
@@ -261,8 +287,10 @@ def links(docs: DataFrame, digest: DataFrame, k: int, t: Fraction, tables: C.Tab
         return members.join(sizes, "hub").select("hub", "name", F.explode(pair).alias("p"), *more).select("hub", "p.i", "p.j", F.col("p.side").alias("side"), "name", *more)
 
     # with short sketches: who has a partner at all
-    shown = dealt(group.join(sets.select("name", "n", "short"), "name"), F.ceil(F.count("*") / BLOCK_SETS), "n", "short")
-    alive = _by_cell(shown.repartition(parts, *cells).sortWithinPartitions(*cells), _alive(t), "name long, hub long").distinct()
+    shown = dealt(group, F.ceil(F.count("*") / BLOCK_SETS)).join(sets.select("name", "n", "short"), "name").select(*cells, "side", "name", "n", "short")
+    near = tables.keep(_by_cell(shown.repartition(parts, *cells).sortWithinPartitions(*cells), _near(t), "u long, v long").distinct(), "near")
+    # sets that may be linked are in one component of these; it takes the hub's place, so that a text is shown once
+    alive = components(near, tables).select(F.col("node").alias("name"), F.col("component").alias("hub"))
     alive = tables.keep(alive.join(sets.select("name", "doc_id", "n"), "name"), "alive")
     # with their texts
     text = C.id_and_text(docs).filter(F.col("doc_id").isNotNull())
@@ -271,12 +299,12 @@ def links(docs: DataFrame, digest: DataFrame, k: int, t: Fraction, tables: C.Tab
     return _by_cell(shown.repartition(parts, *cells).sortWithinPartitions(*cells, "name"), _verified(k, t), "u long, v long")
 
 
-def _alive(t: Fraction):
+def _near(t: Fraction):
     def solve(b: pa.RecordBatch) -> pa.RecordBatch:
         name, at = np.unique(b.column(4).to_numpy(), return_index=True)
         short = b.column(6)
-        good = partnered(b.column(5).to_numpy()[at], [short[int(i)].as_py() for i in at], t)
-        return pa.RecordBatch.from_arrays([pa.array(name[good]), pa.array(np.full(int(good.sum()), b.column(0)[0].as_py()), pa.int64())], names=["name", "hub"])
+        out = name[partners(b.column(5).to_numpy()[at], [short[int(i)].as_py() for i in at], t)]
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
 
     return solve
 
