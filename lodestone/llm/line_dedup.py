@@ -8,7 +8,8 @@
    least two of the four least agree with a chance of about 1 - (1 - J)^4 - 4 J (1 - J)^3, that is 0.97 at 0.8 and 0.996 at 0.9.
    A line with fewer has one band of all it has.
 4. Lines of a band meet its hub, the most frequent of them (an edited copy is rarer than what it was copied from): an aggregation
-   and a join, linear in the lines however many share a band.
+   and a join, linear in the lines however many share a band. Where the lines of a band are still of several components after
+   steps 5 and 6, each meets all lines of the others, so every pair of a band is compared or already connected.
 5. Pairs whose twelve least hashes agree in fewer than half are left out (a pair at the threshold does so with a chance of about
    0.001), and each other pair is verified: the exact Jaccard index of the sets of all character shingles.
 6. Components of verified pairs, by alternating stars. The line at the least (doc_id, line_no) of a component stays.
@@ -61,6 +62,11 @@ def similar(pairs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) ->
     return both.filter(F.col("both") >= F.lit(threshold) * (F.col("n") - F.col("both")) - F.lit(1e-9)).select("u", "v")
 
 
+def _alike(a: str, b: str) -> Column:
+    """Whether of two lines' least hashes enough agree for a verification."""
+    return 2 * F.size(F.array_intersect(a, b)) >= F.least(F.size(a), F.size(b))
+
+
 def judged(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE, threshold: float = THRESHOLD, tables: C.Tables | None = None) -> DataFrame:
     """(doc_id, line_no, kept, keeper_doc_id, keeper_line_no) of every line."""
     tables = tables or C.Tables(docs.sparkSession)
@@ -72,17 +78,30 @@ def judged(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE, threshol
     some = F.xxhash64(*[F.coalesce(f"s{i}", F.lit(0)) for i in range(3)], F.lit(-1))
     keys = F.when(F.col("s3").isNull(), F.array(some)).otherwise(F.array(*[F.xxhash64(f"s{i}", f"s{j}") for i, j in _PAIRS]))
     band = distinct.select(F.struct((-F.col("n")).alias("n"), F.col("name").alias("name")).alias("line"), F.explode(keys).alias("key"))
+    band = tables.keep(band, "bands")
     hubs = band.groupBy("key").agg(F.min("line").alias("hub"), F.max("line").alias("last")).filter("hub <> last").select("key", F.col("hub.name").alias("hub"))
     met = tables.keep(band.join(hubs, "key").select(F.col("line.name").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct(), "met")
     of = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
     sketch = tables.keep(all_lines.select("name", "s").join(of(met), "name", "left_semi").groupBy("name").agg(F.first("s").alias("s")), "sketches")
     near = met.join(sketch.select(F.col("name").alias("u"), F.col("s").alias("a")), "u").join(sketch.select(F.col("name").alias("v"), F.col("s").alias("b")), "v")
-    met = tables.keep(near.filter(2 * F.size(F.array_intersect("a", "b")) >= F.least(F.size("a"), F.size("b"))).select("u", "v"), "near")
-    wanted = of(met)
-    texts = lines(docs).filter(F.length("line") >= least).select(F.xxhash64("line").alias("name"), "line").join(wanted, "name", "left_semi").groupBy("name").agg(F.first("line").alias("line"))
-    texts = tables.keep(texts, "texts")
-    pairs = met.join(texts.select(F.col("name").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("name").alias("v"), F.col("line").alias("b")), "v")
-    found = components(similar(pairs, k, threshold), tables)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        texts = lines(docs).filter(F.length("line") >= least).select(F.xxhash64("line").alias("name"), "line").join(of(pairs), "name", "left_semi").groupBy("name").agg(F.first("line").alias("line"))
+        texts = tables.keep(texts, "texts")
+        both = pairs.join(texts.select(F.col("name").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("name").alias("v"), F.col("line").alias("b")), "v")
+        return tables.keep(similar(both, k, threshold), "similar")
+
+    linked = verified(tables.keep(near.filter(_alike("a", "b")).select("u", "v"), "near"))
+    # the bands that are still of several components: each line meets the lines of the others
+    part = band.select("key", F.col("line.name").alias("name")).join(components(linked, tables).withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("component", "name").alias("class"))
+    several = part.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
+    part = tables.keep(part.join(several, "key", "left_semi").join(sketch, "name"), "several")
+    classes = part.select("key", F.col("class").alias("other")).distinct()
+    ours = part.join(classes, "key").filter("class < other").select("key", "other", F.col("name").alias("u"), F.col("s").alias("a"))
+    theirs = part.select("key", F.col("class").alias("other"), F.col("name").alias("v"), F.col("s").alias("b"))
+    rest = ours.join(theirs, ["key", "other"]).filter(_alike("a", "b")).select("u", "v").distinct()
+    linked = linked.unionByName(verified(tables.keep(rest, "rest")))
+    found = components(linked, tables)
     placed = all_lines.select("doc_id", "line_no", "name").join(found.withColumnRenamed("node", "name"), "name", "left").select("doc_id", "line_no", F.coalesce("component", "name").alias("class"))
     placed = tables.keep(placed, "placed")
     keeper = placed.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))

@@ -498,6 +498,18 @@ def test_lines(spark, docs, texts, empty):
     assert line_dedup.dedup(docs).columns == docs.columns and line_dedup.dedup(empty).count() == 0
 
 
+def test_similar_lines_meet_beside_a_more_frequent_stranger(spark):
+    rng, texts, pairs = random.Random(21), [], []
+    words = lambda n: ["".join(rng.choices("bcdfghklmn", k=9)) for _ in range(n)]
+    for _ in range(20):
+        shared = words(11)
+        frequent, rare = " ".join(shared + words(3)), " ".join(shared + words(3))
+        texts += [frequent] * 5 + [rare, rare[:-1] + "q"]
+        pairs.append((len(texts) - 2, len(texts) - 1))
+    got = {r["doc_id"]: r["keeper_doc_id"] for r in line_dedup.judged(frame(spark, texts)).collect()}
+    assert all(got[i] == got[j] == i for i, j in pairs)
+
+
 def test_lines_stay_in_the_jvm(docs):
     plan = line_dedup.judged(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
