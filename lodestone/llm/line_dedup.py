@@ -3,10 +3,9 @@
 1. Texts are split at newlines. Lines shorter than ``least`` characters are never compared and always stay.
 2. A line's name is a 64-bit hash of it, so equal lines are one from there on; their count and first place are aggregated before
    they are shuffled.
-3. Signature: a line's character shingles that begin a word (a choice that depends on the shingle alone, so MinHash holds on
-   them) are hashed, and the four least hashes are kept. Bands are the six pairs of them: of two lines whose Jaccard index is J, at
-   least two of the four least agree with a chance of about 1 - (1 - J)^4 - 4 J (1 - J)^3, that is 0.97 at 0.8 and 0.996 at 0.9.
-   A line with fewer has one band of all it has.
+3. Signature: all character shingles of a line are hashed, wherever they begin, and the least hashes are kept. Bands are the
+   pairs of the six least (fewer if there are fewer): of two lines whose Jaccard index is J, at least two of the six least agree
+   with a chance of about 1 - (1 - J)^6 - 6 J (1 - J)^5, that is 0.998 at 0.8. A line of one shingle has one band of it.
 4. Lines of a band meet its hub, the most frequent of them (an edited copy is rarer than what it was copied from): an aggregation
    and a join, linear in the lines however many share a band. Where the lines of a band are still of several components after
    steps 5 and 6, each meets all lines of the others, so every pair of a band is compared or already connected.
@@ -27,11 +26,8 @@ from lodestone.llm import common as C
 from lodestone.llm.components import components
 
 LEAST_CHARS, SHINGLE, THRESHOLD = 20, 5, 0.8
-#: Characters of the shingles that begin words, for signatures.
-WORD_SHINGLE = 8
-#: Hashes that are kept of a line.
-SKETCH = 12
-_PAIRS = ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3))
+#: Hashes that are kept of a line, and how many of them are paired to bands.
+SKETCH, BANDED = 12, 6
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -39,20 +35,19 @@ def lines(docs: DataFrame) -> DataFrame:
     return C.id_and_text(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _least(line: Column) -> Column:
-    """The least hashes of the shingles that begin words, ascending."""
-    begins = F.regexp_extract_all(line, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{WORD_SHINGLE - 1}}}))"), F.lit(1))
-    return F.slice(F.array_distinct(F.sort_array(F.transform(begins, lambda s: F.xxhash64(s)))), 1, SKETCH)
+def _shingles(line: Column, k: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
-def signed(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, line_no, name, s): name is null for a line that takes no part; s are its least hashes."""
+def signed(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, line_no, name, s): name is null for a line that takes no part; s are the least hashes of its shingles, ascending."""
     part = F.length("line") >= least
-    return lines(docs).select("doc_id", "line_no", F.when(part, F.xxhash64("line")).alias("name"), F.when(part, _least(F.col("line"))).alias("s"))
-
-
-def _shingles(line: Column, k: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+    hashed = lines(docs).select("doc_id", "line_no", F.when(part, F.xxhash64("line")).alias("name"), F.when(part, F.transform(_shingles(F.col("line"), k), lambda x: F.xxhash64(x))).alias("h"))
+    # hashes are uniform, so a low range of them that holds SKETCH gives the same least ones and spares sorting the rest
+    top = (F.lit(-(2.0**63)) + F.lit(2.0**64 * 3 * SKETCH) / F.greatest(F.size("h"), F.lit(3 * SKETCH + 1))).cast("long")
+    low = hashed.withColumn("top", top).withColumn("low", F.array_distinct(F.filter("h", lambda x: x <= F.col("top"))))
+    of = F.when(F.size("low") >= SKETCH, F.col("low")).otherwise(F.array_distinct("h"))
+    return low.select("doc_id", "line_no", "name", F.slice(F.sort_array(of), 1, SKETCH).alias("s"))
 
 
 def similar(pairs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,13 +65,12 @@ def _alike(a: str, b: str) -> Column:
 def judged(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE, threshold: float = THRESHOLD, tables: C.Tables | None = None) -> DataFrame:
     """(doc_id, line_no, kept, keeper_doc_id, keeper_line_no) of every line."""
     tables = tables or C.Tables(docs.sparkSession)
-    all_lines = tables.keep(signed(docs, least), "lines")
-    named = all_lines.filter("name is not null").select("name", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(4)])
-    firsts = [F.first(f"s{i}").alias(f"s{i}") for i in range(4)]
+    all_lines = tables.keep(signed(docs, least, k), "lines")
+    named = all_lines.filter("name is not null").select("name", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(BANDED)])
+    firsts = [F.first(f"s{i}").alias(f"s{i}") for i in range(BANDED)]
     distinct = named.groupBy("name").agg(F.count("*").alias("n"), *firsts)
-    # at least four hashes: the six pairs; fewer: one band of those there are
-    some = F.xxhash64(*[F.coalesce(f"s{i}", F.lit(0)) for i in range(3)], F.lit(-1))
-    keys = F.when(F.col("s3").isNull(), F.array(some)).otherwise(F.array(*[F.xxhash64(f"s{i}", f"s{j}") for i, j in _PAIRS]))
+    keys = [F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{i}", f"s{j}")) for j in range(BANDED) for i in range(j)]
+    keys = F.array_compact(F.array(F.when(F.col("s1").isNull(), F.col("s0")), *keys))
     band = distinct.select(F.struct((-F.col("n")).alias("n"), F.col("name").alias("name")).alias("line"), F.explode(keys).alias("key"))
     band = tables.keep(band, "bands")
     hubs = band.groupBy("key").agg(F.min("line").alias("hub"), F.max("line").alias("last")).filter("hub <> last").select("key", F.col("hub.name").alias("hub"))

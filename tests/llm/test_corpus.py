@@ -510,6 +510,23 @@ def test_similar_lines_meet_beside_a_more_frequent_stranger(spark):
     assert all(got[i] == got[j] == i for i, j in pairs)
 
 
+def test_lines_without_spaces_are_signed_whole(spark):
+    rng, texts = random.Random(22), []
+    for _ in range(8):
+        han = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(60))
+        texts += [han, chr(rng.randint(0x4E00, 0x9FA5)) + han]
+    for _ in range(8):
+        url = "https://example.org/" + "".join(rng.choices("abcdefghij", k=60)) + "?page=1"
+        texts += [url + "7", url + "8"]
+    texts += ["https://example.org/list"] * 20
+    for _ in range(8):
+        a, b = ("".join(rng.choices("abcdefghij", k=30)) for _ in range(2))
+        texts += [f"{a} {b}", f"{a[:3]}X{a[4:]} {b}"]
+    got = {r["doc_id"]: r["keeper_doc_id"] for r in line_dedup.judged(frame(spark, texts)).collect()}
+    assert all(got[texts.index(x)] == got[i] for i, x in enumerate(texts))
+    assert all(got[i] == got[i + 1] == i for i in [*range(0, 32, 2), *range(52, 68, 2)])
+
+
 def test_lines_stay_in_the_jvm(docs):
     plan = line_dedup.judged(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
