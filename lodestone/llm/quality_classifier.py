@@ -2,7 +2,8 @@
 
 Words, pairs of neighbouring words and character n-grams hash into buckets, each with a learned vector; a document is the mean of
 its features' vectors, and a softmax over two outputs gives the score. Trained by stochastic gradient descent in numpy on a
-bounded sample (``sample`` labelled rows, of which ``features`` distinct features count at most, the most frequent first).
+bounded sample of ``sample`` labelled rows, each with all its features. They reach the driver compressed and are unpacked one
+at a time, so it holds a few bytes for each distinct feature of a text.
 A pair of equal words has one bucket of its own, whatever the word, since repetition is what matters there.
 
 As the outputs are linear in the mean, scoring needs one number for each bucket, the difference of its two outputs.
@@ -13,6 +14,8 @@ class's smoothed share; rows with the same id count each for themselves.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +49,25 @@ def features(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids).astype(np.int64), np.concatenate(rows)
 
 
+def _packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending distinct buckets as differences, and their counts."""
+    return zlib.compress(np.concatenate([np.diff(ids, prepend=0), counts]).astype("<i4").tobytes(), 1)
+
+
+class Rows:
+    """A sequence of (distinct buckets, counts), unpacked when asked for."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        gaps, counts = np.frombuffer(zlib.decompress(self.packed[i]), "<i4").reshape(2, -1)
+        return np.cumsum(gaps), counts
+
+
 class Model:
     def __init__(self, scalar: np.ndarray, bias: float):
         self.scalar, self.bias = scalar, bias
@@ -60,7 +82,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 16, epochs: int = 8, rate: float = 2.0, seed: int = 11) -> Model:
+def fit(rows: Rows, y: np.ndarray, dim: int = 16, epochs: int = 8, rate: float = 2.0, seed: int = 11) -> Model:
     """rows: (distinct buckets, counts) of each text."""
     n = len(rows)
     share = (float(y.sum()) + 0.5) / (n + 1)
@@ -94,38 +116,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 16,
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(out_bias[1] - out_bias[0]))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, mod: int, rest: int, sample: int, most: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def _sampled(docs: DataFrame, labels: DataFrame, mod: int, rest: int, sample: int) -> tuple[Rows, np.ndarray]:
     def run(batches):
         for b in C.slices(batches):
-            ids, counts, cut = [], [], [0]
+            packed = []
             f, r = features(*C.offsets_of(b.column(1)))
             order = np.argsort(r, kind="stable")
             bounds = np.searchsorted(r[order], np.arange(b.num_rows + 1))
             for i in range(b.num_rows):
-                u, c = np.unique(f[order[bounds[i] : bounds[i + 1]]], return_counts=True)
-                if len(u) > most:
-                    top = np.sort(np.argsort(-c, kind="stable")[:most])
-                    u, c = u[top], c[top]
-                ids.append(u.astype(np.int32))
-                counts.append(c.astype(np.int32))
-                cut.append(cut[-1] + len(u))
-            cut = pa.array(cut, pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x))) for x in (ids, counts)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], names=["doc_id", "y", "f", "c"])
-
-    found = C.labelled(docs, labels, "quality", mod, rest, sample).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>, c array<int>").toArrow()
-    rows = []
-    for chunk in found.to_batches():  # views of the Arrow buffers, no copies
-        off = chunk.column(2).offsets.to_numpy()
-        f, c = chunk.column(2).values.to_numpy(), chunk.column(3).values.to_numpy()
-        rows += list(zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), ((f[a:b], c[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)), strict=True))
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return [r[2] for r in rows], np.asarray([r[1] for r in rows], np.float64)
-
-
-def score(docs: DataFrame, labels: DataFrame, sample: int = 3_000, features_of_row: int = 2_000, mod: int = 4, rest: int = 2, threshold: float = 0.7) -> DataFrame:
+                packed.append(_packed(*np.unique(f[order[bounds[i] : bounds[i + 1]]], return_counts=True)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["doc_id", "y", "f"])
+
+    found = C.labelled(docs, labels, "quality", mod, rest, sample).select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f binary").toArrow()
+    rows = sorted(zip(*[found.column(i).to_pylist() for i in range(3)], strict=True), key=lambda r: (r[0], r[1]))
+    return Rows([r[2] for r in rows]), np.asarray([r[1] for r in rows], np.float64)
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = 3_000, mod: int = 4, rest: int = 2, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document. Learns from at most ``sample`` labelled rows not held out."""
-    model = fit(*_sampled(docs, labels, mod, rest, sample, features_of_row))
+    model = fit(*_sampled(docs, labels, mod, rest, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

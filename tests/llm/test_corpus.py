@@ -179,6 +179,19 @@ def test_quality(spark, empty):
     assert quality_classifier.score(empty, labels(spark, [])).count() == 0
 
 
+def test_quality_trains_on_whole_texts(spark, monkeypatch):
+    rng, seen = random.Random(23), []
+    texts = [prose(rng, n) for n in (5, 400, 3_000)] + [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(2_000)), ""]
+    monkeypatch.setattr(quality_classifier, "fit", lambda rows, y: seen.extend(rows[i] for i in range(len(rows))) or quality_classifier.Model(np.empty(0), 0.0))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    quality_classifier.score(frame(spark, texts, ids=ids), labels(spark, [(i, 1, 0) for i in ids]))
+    assert len(seen) == len(texts)
+    for t, (buckets, counts) in zip(texts, seen, strict=True):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        want = collections.Counter(quality_classifier.features(np.asarray([0, len(raw)]), raw)[0].tolist())
+        assert dict(zip(buckets.tolist(), counts.tolist(), strict=True)) == want
+
+
 def test_quality_features_stay_in_rows():
     raw = np.frombuffer(b"abcabc xyz", np.uint8)
     whole, _ = quality_classifier.features(np.asarray([0, 3, 6, 10]), raw)
