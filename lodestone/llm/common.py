@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +20,12 @@ SLICE_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of this machine is taken
+    if the driver is the only executor (master ``local``); on a cluster that is an error."""
     sc = spark.sparkContext
     if not (where := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lodestone-checkpoints-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -52,9 +57,25 @@ class Tables:
         df.write.option("maxRecordsPerFile", 0).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name_df: DataFrame) -> None:
-        for f in name_df.inputFiles()[:1]:
-            _remove(self.spark, f.rsplit("/", 1)[0])
+    def drop(self, *consumed: DataFrame) -> None:
+        """Removes tables that nothing reads any more, and the shuffle files of plans that are done."""
+        for df in consumed:
+            for f in df.inputFiles()[:1]:
+                _remove(self.spark, f.rsplit("/", 1)[0])
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Spark removes a plan's shuffle files once the driver's garbage collector has found the plan unused."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with a prefix that makes them clash with no column."""
+    taken, prefix = {c.lower() for c in df.columns}, "own_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

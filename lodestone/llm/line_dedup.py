@@ -1,20 +1,25 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-1. Texts are split at newlines. Lines shorter than ``least`` characters are never compared and always stay.
-2. A line's name is a 64-bit hash of it, so equal lines are one from there on; their count and first place are aggregated before
-   they are shuffled.
-3. Signature: all character shingles of a line are hashed, wherever they begin, and the least hashes are kept. Bands are the
-   pairs of the six least (fewer if there are fewer): of two lines whose Jaccard index is J, at least two of the six least agree
-   with a chance of about 1 - (1 - J)^6 - 6 J (1 - J)^5, that is 0.998 at 0.8. A line of one shingle has one band of it.
-4. Lines of a band meet its hub, the most frequent of them (an edited copy is rarer than what it was copied from): an aggregation
-   and a join, linear in the lines however many share a band. Where the lines of a band are still of several components after
-   steps 5 and 6, each meets all lines of the others, so every pair of a band is compared or already connected.
-5. Pairs whose twelve least hashes agree in fewer than half are left out (a pair at the threshold does so with a chance of about
-   0.001), and each other pair is verified: the exact Jaccard index of the sets of all character shingles.
+1. Texts are split at newlines. A line of white space only is never compared and always stays; all others take part, whatever
+   their length. A line's name is a 64-bit hash of it, so equal lines are one from there on.
+2. Signature. What is verified are the sets of all character shingles (``k`` = 5) of two lines. Signed are, of a line of many
+   words, the strings of nine characters at word beginnings (a content-defined sample, in which lines of one language share far
+   less by chance than in short shingles), and of a line of few words or none all its shingles. Lines of 12 to 17 words are
+   signed both ways, so that no pair falls between the two. The hashes are dealt to ten bins by their value; the three least of a
+   bin make its band key. Two lines at a Jaccard index of 0.8 by scattered edits share a key with a chance of about 0.98
+   (word beginnings) or 0.999 (all shingles).
+3. Lines of a band meet its hub, the most frequent of them (an edited copy is rarer than what it was copied from): an aggregation
+   and a join, linear in the lines however many share a band.
+4. Each pair is verified: the exact Jaccard index of the sets of all shingles. A pair that already differs too much in the shingles
+   at word beginnings cannot reach it, and is dropped before all shingles are taken; that loses nothing.
+5. Refinement: where lines of a band are still in several components, they meet again under keys of that band and each later one,
+   two bands that agree, with a hub of their own; then of three; and so on until no key has lines of several components or all
+   ten bands agree. Lines that share a passage but are not similar fall apart at once, so no group is ever compared pair by pair.
 6. Components of verified pairs, by alternating stars. The line at the least (doc_id, line_no) of a component stays.
 
-Defined cases: a null text has no lines; an empty one has one line, which stays; rows with the same doc_id and line number share
-one fate; a null doc_id comes first.
+Defined cases: a null text has no lines; an empty one has one line, which stays; a line shorter than k is one shingle; rows with
+the same doc_id and line number share one fate; a null doc_id comes first; of equal lines the one of the least (doc_id, line_no)
+stays, and ties there stay together; other columns of the table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,9 +30,11 @@ from pyspark.sql import functions as F
 from lodestone.llm import common as C
 from lodestone.llm.components import components
 
-LEAST_CHARS, SHINGLE, THRESHOLD = 20, 5, 0.8
-#: Hashes that are kept of a line, and how many of them are paired to bands.
-SKETCH, BANDED = 12, 6
+SHINGLE, THRESHOLD = 5, 0.8
+#: Bands of a signature, and hashes in each.
+BANDS, ROWS = 10, 3
+#: Length of the strings at word beginnings; from FEW of them on they are signed, and up to MANY all shingles are.
+LONG, FEW, MANY = 9, 12, 17
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -35,85 +42,161 @@ def lines(docs: DataFrame) -> DataFrame:
     return C.id_and_text(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _takes_part() -> Column:
+    return F.col("line").rlike(r"\S")
+
+
+def _hashed(strings: Column) -> Column:
+    return F.transform(strings, lambda x: F.xxhash64(x))
+
+
 def _shingles(line: Column, k: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+    """The set of all runs of k characters, hashed; a shorter line is one. Runs are cut at each of k starts, which needs no lookahead."""
+    runs = [F.regexp_extract_all(F.substring(line, i + 1, 2147483647), F.lit(rf"(?s).{{{k}}}"), F.lit(0)) for i in range(k)]
+    return F.array_distinct(_hashed(F.when(F.length(line) < k, F.array(line)).otherwise(F.concat(*runs))))
+
+
+def _beginnings(line: Column, n: int) -> Column:
+    """The strings of n characters at word beginnings."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:^|\s)(?=(\S.{{{n - 1}}}))"), F.lit(1))
+
+
+def _keys(hashes: Column, tag: int) -> Column:
+    """Band keys, in order of bands; null for a bin without hashes."""
+    none = [F.xxhash64(F.lit(tag + b), F.array().cast("array<bigint>")) for b in range(BANDS)]
+
+    def of(h: Column) -> Column:
+        def least(b: int) -> Column:
+            return F.slice(F.filter(h, lambda x: F.pmod(x, F.lit(BANDS)) == b), 1, ROWS)
+
+        return F.array(*[F.xxhash64(F.lit(tag + b), least(b)) for b in range(BANDS)])
+
+    keys = F.transform(F.array(F.sort_array(F.array_distinct(hashes))), of)  # a lambda's variable is computed once
+    return F.transform(F.get(keys, F.lit(0)), lambda x: F.when(~x.isin(*none), x))
 
 
-def signed(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, line_no, name, s): name is null for a line that takes no part; s are the least hashes of its shingles, ascending."""
-    part = F.length("line") >= least
-    hashed = lines(docs).select("doc_id", "line_no", F.when(part, F.xxhash64("line")).alias("name"), F.when(part, F.transform(_shingles(F.col("line"), k), lambda x: F.xxhash64(x))).alias("h"))
-    # hashes are uniform, so a low range of them that holds SKETCH gives the same least ones and spares sorting the rest
-    top = (F.lit(-(2.0**63)) + F.lit(2.0**64 * 3 * SKETCH) / F.greatest(F.size("h"), F.lit(3 * SKETCH + 1))).cast("long")
-    low = hashed.withColumn("top", top).withColumn("low", F.array_distinct(F.filter("h", lambda x: x <= F.col("top"))))
-    of = F.when(F.size("low") >= SKETCH, F.col("low")).otherwise(F.array_distinct("h"))
-    return low.select("doc_id", "line_no", "name", F.slice(F.sort_array(of), 1, SKETCH).alias("s"))
+def signed(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(name, keys) of every line; name is null for a line that takes no part; keys: one or two arrays of band keys."""
+    part = lines(docs).withColumn("name", F.when(_takes_part(), F.xxhash64("line"))).withColumn("words", F.when(F.col("name").isNotNull(), _hashed(_beginnings(F.col("line"), LONG))))
+    many = F.when(F.size("words") >= FEW, _keys(F.col("words"), 0))
+    every = F.when((F.size("words") >= 0) & (F.size("words") <= MANY), _keys(_shingles(F.col("line"), k), BANDS))
+    return part.select("name", F.array_compact(F.array(many, every)).alias("keys"))
 
 
 def similar(pairs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """Of (u, v, a, b) the pairs whose lines a and b have the Jaccard index or more."""
-    sets = pairs.select("u", "v", _shingles(F.col("a"), k).alias("a"), _shingles(F.col("b"), k).alias("b"))
-    both = sets.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("both"))
-    return both.filter(F.col("both") >= F.lit(threshold) * (F.col("n") - F.col("both")) - F.lit(1e-9)).select("u", "v")
 
+    def once(sets: tuple[Column, Column], test) -> Column:
+        """``test`` on the sizes of two sets and of what both have; each set is computed once, as the variable of a lambda."""
+        pair = F.array(F.struct(sets[0].alias("x"), sets[1].alias("y")))
+        return F.get(F.transform(pair, lambda p: test(F.size(p["x"]) + F.size(p["y"]), F.size(F.array_intersect(p["x"], p["y"])))), F.lit(0))
 
-def _alike(a: str, b: str) -> Column:
-    """Whether of two lines' least hashes enough agree for a verification."""
-    return 2 * F.size(F.array_intersect(a, b)) >= F.least(F.size(a), F.size(b))
+    a, b = F.col("a"), F.col("b")
+    most = lambda line: F.greatest(F.length(line) - (k - 1), F.lit(1))
+    # of two sets of n shingles in all, (1 - t) / (1 + t) * n differ at most, and no subset of shingles differs in more
+    bound = F.lit((1 - threshold) / (1 + threshold)) * (most(a) + most(b)) + F.lit(1e-9)
+    some = tuple(F.array_distinct(_hashed(_beginnings(x, k))) for x in (a, b))
+    rough = once(some, lambda n, both: n - 2 * both <= bound)
+    exact = once((_shingles(a, k), _shingles(b, k)), lambda n, both: both >= F.lit(threshold) * (n - both) - F.lit(1e-9))
+    return pairs.filter(rough & exact).select("u", "v")
 
 
-def judged(docs: DataFrame, least: int = LEAST_CHARS, k: int = SHINGLE, threshold: float = THRESHOLD, tables: C.Tables | None = None) -> DataFrame:
-    """(doc_id, line_no, kept, keeper_doc_id, keeper_line_no) of every line."""
-    tables = tables or C.Tables(docs.sparkSession)
-    all_lines = tables.keep(signed(docs, least, k), "lines")
-    named = all_lines.filter("name is not null").select("name", *[F.get("s", F.lit(i)).alias(f"s{i}") for i in range(BANDED)])
-    firsts = [F.first(f"s{i}").alias(f"s{i}") for i in range(BANDED)]
-    distinct = named.groupBy("name").agg(F.count("*").alias("n"), *firsts)
-    keys = [F.when(F.col(f"s{j}").isNotNull(), F.xxhash64(f"s{i}", f"s{j}")) for j in range(BANDED) for i in range(j)]
-    keys = F.array_compact(F.array(F.when(F.col("s1").isNull(), F.col("s0")), *keys))
-    band = distinct.select(F.struct((-F.col("n")).alias("n"), F.col("name").alias("name")).alias("line"), F.explode(keys).alias("key"))
-    band = tables.keep(band, "bands")
-    hubs = band.groupBy("key").agg(F.min("line").alias("hub"), F.max("line").alias("last")).filter("hub <> last").select("key", F.col("hub.name").alias("hub"))
-    met = tables.keep(band.join(hubs, "key").select(F.col("line.name").alias("u"), F.col("hub").alias("v")).filter("u <> v").distinct(), "met")
-    of = lambda pairs: pairs.select(F.explode(F.array("u", "v")).alias("name")).distinct()
-    sketch = tables.keep(all_lines.select("name", "s").join(of(met), "name", "left_semi").groupBy("name").agg(F.first("s").alias("s")), "sketches")
-    near = met.join(sketch.select(F.col("name").alias("u"), F.col("s").alias("a")), "u").join(sketch.select(F.col("name").alias("v"), F.col("s").alias("b")), "v")
+def _met(band: DataFrame, tables: C.Tables) -> DataFrame:
+    """Of (key, name, place, ...) the rows of keys that several names share, with ``hub``, the place of the first of them."""
+    first = band.groupBy("key").agg(F.min("place").alias("hub"), F.max("place").alias("last")).filter("hub <> last").select("key", "hub")
+    first = tables.keep(first, "keys")
+    tables.tidy()
+    return tables.keep(band.join(first.hint("shuffle_hash"), "key"), "met")  # the shared keys are few, so they are the side to build
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(u, v): names and their hubs' names."""
+    hub = met.filter("place = hub").select("key", F.col("name").alias("v"))
+    return met.filter("place <> hub").select("key", F.col("name").alias("u")).join(hub, "key").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The keys under which lines of several classes are."""
+    return rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
+
+
+def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tables: C.Tables) -> DataFrame:
+    """(node, component) of the names that are linked; distinct: (name, place, keys)."""
+    met = _met(distinct.select("name", "place", F.explode(F.flatten("keys")).alias("key")).filter("key is not null"), tables)
+    tables.tidy()
+    tried = tables.keep(_pairs(met), "pairs")
+    wanted = tried.select(F.explode(F.array("u", "v")).alias("name")).distinct()
+    texts = lines(docs).filter(_takes_part()).select(F.xxhash64("line").alias("name"), "line").join(wanted, "name", "left_semi").dropDuplicates(["name"])
+    texts = tables.keep(texts, "texts")  # all names that any later round pairs have met a hub in the first
+    tables.tidy()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = lines(docs).filter(F.length("line") >= least).select(F.xxhash64("line").alias("name"), "line").join(of(pairs), "name", "left_semi").groupBy("name").agg(F.first("line").alias("line"))
-        texts = tables.keep(texts, "texts")
         both = pairs.join(texts.select(F.col("name").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("name").alias("v"), F.col("line").alias("b")), "v")
         return tables.keep(similar(both, k, threshold), "similar")
 
-    linked = verified(tables.keep(near.filter(_alike("a", "b")).select("u", "v"), "near"))
-    # the bands that are still of several components: each line meets the lines of the others
-    part = band.select("key", F.col("line.name").alias("name")).join(components(linked, tables).withColumnRenamed("node", "name"), "name", "left").select("key", "name", F.coalesce("component", "name").alias("class"))
-    several = part.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
-    part = tables.keep(part.join(several, "key", "left_semi").join(sketch, "name"), "several")
-    classes = part.select("key", F.col("class").alias("other")).distinct()
-    ours = part.join(classes, "key").filter("class < other").select("key", "other", F.col("name").alias("u"), F.col("s").alias("a"))
-    theirs = part.select("key", F.col("class").alias("other"), F.col("name").alias("v"), F.col("s").alias("b"))
-    rest = ours.join(theirs, ["key", "other"]).filter(_alike("a", "b")).select("u", "v").distinct()
-    linked = linked.unionByName(verified(tables.keep(rest, "rest")))
-    found = components(linked, tables)
-    placed = all_lines.select("doc_id", "line_no", "name").join(found.withColumnRenamed("node", "name"), "name", "left").select("doc_id", "line_no", F.coalesce("component", "name").alias("class"))
-    placed = tables.keep(placed, "placed")
-    keeper = placed.filter("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))
-    out = placed.join(keeper, "class", "left").withColumn("keeper", F.coalesce("keeper", F.struct("doc_id", "line_no")))
+    found = components(verified(tried), tables)
+    sets = None
+    for depth in range(2, BANDS + 1):
+        of = met.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.coalesce("component", "name"))
+        rest = tables.keep(of.join(_several(of), "key", "left_semi").drop("hub", "component"), "rest")
+        if sets is None:  # band keys of the names that are left
+            sets = tables.keep(distinct.select("name", F.col("keys").alias("all")).join(rest.select("name").distinct().hint("shuffle_hash"), "name", "left_semi"), "sets")
+        rest = rest.join(sets, "name")
+        if depth == 2:  # a key's side (one of the two ways of signing) and its band
+            rest = rest.withColumn("side", F.when(F.array_contains(F.get("all", F.lit(0)), F.col("key")), 0).otherwise(1)).withColumn("last", F.array_position(F.get("all", F.col("side")), F.col("key")).cast("int"))
+        later = F.transform(F.get("all", F.col("side")), lambda x, i: F.when(i >= F.col("last"), F.struct(F.xxhash64("key", x).alias("key"), (i + 1).cast("int").alias("last"), x.alias("x"))))
+        finer = rest.select("name", "place", "class", "side", F.explode(later).alias("to")).filter("to.x is not null").select("name", "place", "class", "side", F.col("to.key").alias("key"), F.col("to.last").alias("last"))
+        finer = tables.keep(finer, "finer")
+        met = _met(finer.join(_several(finer), "key", "left_semi").drop("class"), tables)
+        fresh = tables.keep(_pairs(met).join(tried, ["u", "v"], "left_anti"), "fresh")
+        if met.isEmpty():
+            break
+        if fresh.isEmpty():
+            continue
+        tried = tried.unionByName(fresh)
+        linked = verified(fresh)
+        if not linked.isEmpty():  # known components are stars already
+            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked), tables)
+    tables.drop(texts)
+    return found
+
+
+def judged(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, tables: C.Tables | None = None) -> DataFrame:
+    """(doc_id, line_no, kept, keeper_doc_id, keeper_line_no) of every line."""
+    tables = tables or C.Tables(docs.sparkSession)
+    # the most frequent comes first, then the least name; among the few names of a key the places tell them apart
+    rarity = F.lit(63) - F.floor(F.log2(F.col("n").cast("double"))).cast("long")
+    place = F.shiftleft(rarity, 57) + F.shiftrightunsigned(F.col("name"), 7)
+    distinct = signed(docs, k).filter("name is not null").groupBy("name").agg(F.count("*").alias("n"), F.first("keys").alias("keys"))
+    distinct = tables.keep(distinct.select("name", "n", place.alias("place"), "keys"), "distinct")
+    tables.tidy()
+    found = classes(docs, distinct, k, threshold, tables).withColumnRenamed("node", "name")
+    # names of several lines, equal or similar; all other lines are on their own
+    shared = distinct.filter("n > 1").select("name").join(found, "name", "full").select("name", F.coalesce("component", "name").alias("class"))
+    shared = tables.keep(shared, "shared")
+    tables.drop(distinct)
+    every = lines(docs).select("doc_id", "line_no", F.when(_takes_part(), F.xxhash64("line")).alias("name"))
+    placed = tables.keep(every.join(shared.hint("shuffle_hash"), "name", "left").select("doc_id", "line_no", "class"), "placed")
+    together = placed.filter("class is not null")
+    keeper = together.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("keeper"))
+    columns = ["doc_id", "line_no", "kept", "keeper_doc_id", "keeper_line_no"]
+    alone = placed.filter("class is null").select("doc_id", "line_no", F.lit(True).alias("kept"), F.col("doc_id").alias("keeper_doc_id"), F.col("line_no").alias("keeper_line_no"))
     kept = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.line_no") == F.col("line_no"))
-    return out.select("doc_id", "line_no", kept.alias("kept"), F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
+    judged_ = together.join(keeper, "class").select("doc_id", "line_no", kept.alias("kept"), F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.line_no").alias("keeper_line_no"))
+    return alone.unionByName(judged_).select(columns)
 
 
 def dedup(docs: DataFrame, tables: C.Tables | None = None, **rules) -> DataFrame:
     """The documents without their removed lines, in their columns. A document of which only white space is left is dropped;
     one that loses no line stays as it is. ``n_chars`` follows the text, if there is such a column."""
     tables = tables or C.Tables(docs.sparkSession)
+    own, cut, fates, whole = C.unused(docs, "doc", "text", "fate", "whole")
     fate = judged(docs, tables=tables, **rules).groupBy("doc_id", "line_no").agg(F.bool_or("kept").alias("kept"))
-    flags = fate.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "kept"))).alias("_fate"), F.bool_and("kept").alias("_whole"))  # a document's own lines
-    flags = flags.filter("not _whole").select(F.col("doc_id").alias("_doc"), F.transform("_fate", lambda x: x["kept"]).alias("_kept"))
+    flags = fate.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "kept"))).alias(fates), F.bool_and("kept").alias(whole))  # a document's own lines
+    flags = flags.filter(~F.col(whole)).select(F.col("doc_id").alias(own), F.transform(fates, lambda x: x["kept"]).alias(fates))
     text = F.col("text").cast("string")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.coalesce(F.get("_kept", i), F.lit(True))), "\n")
-    out = docs.join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").withColumn("_text", F.when(F.col("_kept").isNull(), text).otherwise(left))
-    out = out.filter(F.col("_kept").isNull() | F.col("_text").rlike(r"\S"))
-    new = {"text": F.col("_text")} | ({"n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: F.coalesce(F.get(fates, i), F.lit(True))), "\n")
+    out = docs.join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").withColumn(cut, F.when(F.col(fates).isNull(), text).otherwise(left))
+    out = out.filter(F.col(fates).isNull() | F.col(cut).rlike(r"\S"))
+    new = {"text": F.col(cut)} | ({"n_chars": F.when(F.col(fates).isNull(), F.col("n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
