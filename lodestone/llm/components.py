@@ -36,7 +36,8 @@ def components(edges: DataFrame, tables: C.Tables, most_rounds: int = 100) -> Da
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        edges = tables.keep(_star(_star(edges, True), False), "star")
+        before, edges = edges, tables.keep(_star(_star(edges, True), False), "star")
+        tables.drop(before)
         now = print_of(edges)
         if now == seen:
             break

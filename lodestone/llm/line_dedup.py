@@ -110,9 +110,10 @@ def _met(band: DataFrame, tables: C.Tables) -> DataFrame:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """(u, v): names and their hubs' names."""
-    hub = met.filter("place = hub").select("key", F.col("name").alias("v"))
-    return met.filter("place <> hub").select("key", F.col("name").alias("u")).join(hub, "key").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+    """(u, v): names and their hubs' names, unless both are of one class already."""
+    hub = met.filter("place = hub").select("key", F.col("name").alias("v"), F.col("class").alias("w"))
+    apart = met.filter("place <> hub").select("key", F.col("name").alias("u"), "class").join(hub, "key").filter("class <> w")
+    return apart.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def _several(rows: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tables: C.Tables) -> DataFrame:
     """(node, component) of the names that are linked; distinct: (name, place, keys)."""
-    met = _met(distinct.select("name", "place", F.explode(F.flatten("keys")).alias("key")).filter("key is not null"), tables)
+    met = _met(distinct.select("name", "place", F.col("name").alias("class"), F.explode(F.flatten("keys")).alias("key")).filter("key is not null"), tables)
     tables.tidy()
     tried = tables.keep(_pairs(met), "pairs")
     wanted = tried.select(F.explode(F.array("u", "v")).alias("name")).distinct()
@@ -137,8 +138,9 @@ def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tabl
     found = components(verified(tried), tables)
     sets = None
     for depth in range(2, BANDS + 1):
-        of = met.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.coalesce("component", "name"))
+        of = met.drop("class").join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.coalesce("component", "name"))
         rest = tables.keep(of.join(_several(of), "key", "left_semi").drop("hub", "component"), "rest")
+        tables.drop(met)
         if sets is None:  # band keys of the names that are left
             sets = tables.keep(distinct.select("name", F.col("keys").alias("all")).join(rest.select("name").distinct().hint("shuffle_hash"), "name", "left_semi"), "sets")
         rest = rest.join(sets, "name")
@@ -147,7 +149,8 @@ def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tabl
         later = F.transform(F.get("all", F.col("side")), lambda x, i: F.when(i >= F.col("last"), F.struct(F.xxhash64("key", x).alias("key"), (i + 1).cast("int").alias("last"), x.alias("x"))))
         finer = rest.select("name", "place", "class", "side", F.explode(later).alias("to")).filter("to.x is not null").select("name", "place", "class", "side", F.col("to.key").alias("key"), F.col("to.last").alias("last"))
         finer = tables.keep(finer, "finer")
-        met = _met(finer.join(_several(finer), "key", "left_semi").drop("class"), tables)
+        met = _met(finer.join(_several(finer), "key", "left_semi"), tables)
+        tables.drop(finer)
         fresh = tables.keep(_pairs(met).join(tried, ["u", "v"], "left_anti"), "fresh")
         if met.isEmpty():
             break
