@@ -3,23 +3,27 @@
 1. Every document gets its count of distinct shingles and a 64-bit name of its shingle set; equal sets are one from there on.
 2. Size bands: a pair of sizes a <= b with Jaccard t or more has b <= a / t and a symmetric difference of at most
    K = (1 - t) / t * high, if a is at most ``high``, its band's end. A set takes part in the bands of all sizes it may be paired
-   with as the larger one. In a band its shingles are XOR-hashed into K + 1 words of 64 bits; the Hamming distance of two
-   sketches bounds their sets' symmetric difference from below, and by the pigeonhole principle a pair within K differences has
-   at least one equal word. Sets with an all-zero word, which would meet all others that have one, are sketched by further
-   independent hashes, and only the last of these lets zero words meet; nothing is lost, as such pairs both go on. (From 24
-   differences on this is left out: that a pair at the threshold shares zero words only has a chance below 1e-10 there.)
-3. Sets that share a word (band, place, value) meet at the least of them, their hub: one shuffle of the words, ordered by
-   key and read as a stream, so that a key of very many sets is never held; links to a hub are made distinct.
-4. A hub's group is split into blocks of bounded size, and each pair of blocks is one unit of work. First it sees short sketches,
-   of a few bits for each difference allowed, and only sets that have a partner within the distance allowed go on, by component.
-5. Then it sees the texts of those, again discards pairs by sketch distance, and verifies the others exactly, unless they are
-   linked through others already. It emits a spanning forest, never all pairs.
+   with as the larger one. In a band its shingles are dealt by hash to K + 1 + E blocks of a wide parity sketch, in which a shingle
+   flips one of 2^64 bits of its block; a block is held as the XOR of its set bits' 64-bit codes, so blocks agree by content and
+   not by chance. Unequal blocks bound the symmetric difference from below, so a pair within K differences has E + 1 equal blocks.
+   If either set has at most E empty blocks, one of these is not empty, and the two meet in it. A set with more empty blocks is
+   sketched again by other hashes (first without frequent shingles, whose blocks bring unlike sets together, then with them), and
+   the other set of the pair takes part in every attempt up to its own first good one, so the pair meets in the first attempt
+   that is good for either. Only what is never good shows its empty blocks too, in the last attempt. No pair is lost.
+3. Sets that share a block (band, attempt, place, content) meet at the least of them, their hub: an aggregation and a join.
+4. A hub's group is contracted, in blocks of bounded size. First each block, with the hub, is searched for partners by short
+   sketches, of a few bits for each difference allowed. Members that are not linked to the hub then, and only these, are compared
+   with the members of other blocks. So a group of m copies costs m, however large it is.
+5. Groups of partners are contracted likewise with their texts, verifying exactly whatever is not linked through others already.
+   Both steps emit spanning forests, never all pairs.
 6. Components of the forest give the classes.
 
 Names are 64-bit hashes of sets and shingles; among n different sets two agree with a chance of n^2 / 2^65.
 
-Defined cases: a null text or one without words has no shingles and is linked with nothing; fewer words than k are one shingle;
-equal texts are linked at any size; rows with the same id are one node, whose size is the largest of its rows'.
+Defined cases: a null text or one without words has no shingles and is linked with nothing (its component is its own id); fewer
+words than k are one shingle; equal texts are linked at any size; rows with the same id are one node of the links, and each
+reports its own size; a row without an id is linked as any other, but its id is no component's: the least id among its
+partners is, or null; a pair at exactly the threshold is linked; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +39,12 @@ from pyspark.sql import functions as F
 from lodestone.llm import common as C
 from lodestone.llm.components import components
 
-#: Independent hashes for sets with zero words.
-TRIES = 4
+#: Attempts without and with frequent shingles.
+RARE_TRIES, TRIES = 2, 5
+#: Empty blocks that an attempt bears, as a share of the differences allowed.
+SPARE = 0.12
 #: Documents whose shingles are counted to tell frequent ones.
 FREQUENCY_SAMPLE = 4_000
-#: From this many differences on a pair has so many equal words that all of them are zero with a chance below 1e-10.
-MANY = 24
 #: Ratio of a size band's ends.
 BAND = 1.3
 #: Sets and words that a block of a group holds at most (one set at least).
@@ -82,36 +86,57 @@ def sketch(h: np.ndarray, row: np.ndarray, rows: int, k: np.ndarray, attempt: in
     return out, first[:rows]
 
 
-def _keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, t: Fraction, tag: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, row) of the words of every row in every band that it takes part in; n are the sizes of the whole sets."""
+def _blocks(h: np.ndarray, row: np.ndarray, rows: int, n: np.ndarray, attempt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(content, first place, blocks not empty) of each row's n blocks; an empty block's content is 0."""
+    first = np.concatenate([[0], np.cumsum(n)])
+    x = C.mix(h + np.uint64(0x1234567 * (attempt + 1)))
+    place = ((x >> np.uint64(32)) * n[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + first[row]
+    out = np.zeros(first[-1], np.uint64)
+    order = np.argsort(place, kind="stable")
+    at = place[order]
+    head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+    if len(head):
+        out[at[head]] = np.bitwise_xor.reduceat(C.mix(x[order] ^ C._ODD), head)
+    full = np.zeros(first[-1], bool)
+    full[at[head]] = True
+    return out, first[:rows], full
+
+
+def _keys(h: np.ndarray, row: np.ndarray, n: np.ndarray, t: Fraction, rare: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, row) of the blocks of every row in every band that it takes part in; n are the sizes of the whole sets, and ``rare``
+    marks the shingles that the first attempts take."""
     if not len(n) or not n.max():
         return
     low, high, k = bands(t, int(n.max()))
     own = np.searchsorted(high, n)
-    for back in range(64):
+    for back in range(len(high)):
         band = own - back
         # as the larger of a pair whose smaller one is in that band
-        ok = (n > 0) & (band >= 0) & (k[np.maximum(band, 0)] > 0)
+        reach = (n > 0) & (band >= 0)
         if back:
-            ok &= n * t.numerator <= high[np.maximum(band, 0)] * t.denominator
-        rows = np.flatnonzero(ok)
-        if back and not ((n > 0) & (band >= 0) & (n * t.numerator <= high[np.maximum(band, 0)] * t.denominator)).any():
-            break
+            reach &= n * t.numerator <= high[np.maximum(band, 0)] * t.denominator
+            if not reach.any():
+                break
+        rows = np.flatnonzero(reach & (k[np.maximum(band, 0)] > 0))
         for attempt in range(TRIES):
             if not len(rows):
                 break
             new = np.full(len(n), -1)
             new[rows] = np.arange(len(rows))
             mine = new[row] >= 0
+            if attempt < RARE_TRIES:
+                mine &= rare
             kk = k[band[rows]]
-            words, first = sketch(h[mine], new[row[mine]], len(rows), kk, attempt)
-            of = np.repeat(np.arange(len(rows)), kk + 1)
-            place = np.arange(len(words)) - first[of]
-            zero = words == 0
-            key = C.mix(words * C._MULT[0] + (place * 64 + attempt).astype(np.uint64) * C._MULT[1] + band[rows[of]].astype(np.uint64) * C._MULT[2] + np.uint64(tag) * C._MULT[3])
-            keep = ~zero | ((attempt == TRIES - 1) & (kk[of] < MANY))
+            spare = np.maximum(1, np.ceil(SPARE * kk)).astype(np.int64)
+            blocks = kk + 1 + spare
+            content, first, full = _blocks(h[mine], new[row[mine]], len(rows), blocks, attempt)
+            of = np.repeat(np.arange(len(rows)), blocks)
+            place = np.arange(len(content)) - first[of]
+            key = C.mix(content * C._MULT[0] + (place * 64 + attempt).astype(np.uint64) * C._MULT[1] + band[rows[of]].astype(np.uint64) * C._MULT[2])
+            bad = np.bincount(of[~full], minlength=len(rows)) > spare
+            keep = full | bad[of] if attempt == TRIES - 1 else full
             yield key[keep].view(np.int64), rows[of[keep]]
-            rows = rows[np.unique(of[zero & (kk[of] < MANY)])]
+            rows = rows[bad]
 
 
 def _short_bits(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -121,7 +146,7 @@ def _short_bits(n: np.ndarray, t: Fraction) -> np.ndarray:
 
 
 def digests(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """(doc_id, n_shingles, name, short sketch) of every document."""
+    """(doc_id, n_shingles, name, short sketch, hash of the text) of every document."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, row, n, name = _shingled(batch, k)
@@ -131,9 +156,13 @@ def digests(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
         x = C.mix(h ^ C._ODD).view(np.int64) & (bits[row] - 1)
         np.bitwise_xor.at(flat, first[row] + (x >> 6), np.uint64(1) << (x & 63).astype(np.uint64))
         short = [flat[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(name), pa.array(short, pa.binary())], names=["doc_id", "n_shingles", "name", "short"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(name), pa.array(short, pa.binary()), batch.column(2)], names=["doc_id", "n_shingles", "name", "short", "of_text"])
+
+    return C.map_text(docs, step, "doc_id long, n_shingles long, name long, short binary, of_text long", _of_text().alias("of_text"))
+
 
-    return C.map_text(docs, step, "doc_id long, n_shingles long, name long, short binary")
+def _of_text() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 class _Forest(dict):
@@ -143,11 +172,13 @@ class _Forest(dict):
         return x
 
 
-def partners(n: np.ndarray, short: list[bytes], t: Fraction) -> np.ndarray:
-    """A spanning forest (pairs of places) of the pairs whose sizes and short sketches allow the index t."""
+def partners(n: np.ndarray, short: list[bytes], t: Fraction, side: np.ndarray) -> np.ndarray:
+    """A spanning forest (pairs of places) of the pairs whose sizes and short sketches allow the index t; with two sides, of
+    those across."""
     words = np.asarray([len(x) // 8 for x in short])
     forest, out = _Forest(), []
     num, den = t.numerator, t.denominator
+    two = bool(side.any() and not side.all())
     by = {int(w): np.flatnonzero(words == w) for w in np.unique(words)}
     own = {w: np.frombuffer(b"".join(short[i] for i in at), np.uint64).reshape(len(at), w) for w, at in by.items()}
     for w, at in by.items():
@@ -156,7 +187,12 @@ def partners(n: np.ndarray, short: list[bytes], t: Fraction) -> np.ndarray:
             sides.append((by[2 * w], own[2 * w][:, :w] ^ own[2 * w][:, w:]))
         for x, i in zip(own[w], at.tolist(), strict=True):
             for js, y in sides:
-                near = np.flatnonzero((np.minimum(n[i], n[js]) * den >= np.maximum(n[i], n[js]) * num) & ((js > i) if js is at else True))
+                ok = np.minimum(n[i], n[js]) * den >= np.maximum(n[i], n[js]) * num
+                if js is at:
+                    ok &= js > i
+                if two:
+                    ok &= side[js] != side[i]
+                near = np.flatnonzero(ok)
                 if len(near):
                     apart = np.bitwise_count(y[near] ^ x).sum(axis=1, dtype=np.int64)
                     for j in js[near[apart * (den + num) <= (den - num) * (n[i] + n[js[near]])]].tolist():
@@ -180,11 +216,8 @@ def frequent_shingles(docs: DataFrame, k: int, sample: int = FREQUENCY_SAMPLE, l
 
 
 def sketch_words(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """(key, name) of every word of every set's sketches, once in a task.
-
-    Frequent shingles stay out of the sketches: a set's difference from another is no larger without them, so the bound on
-    equal words holds, and words that agree then hold something rare. Sets of mostly frequent shingles are sketched whole; of
-    a pair, if one has at most half of its shingles rare, both have at most (1.5 - t) / t, and both are sketched whole."""
+    """(key, name) of every block of every set's sketches, once in a task. Whichever shingles are frequent, no pair is lost: a set's
+    difference from another is no larger without them."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +231,13 @@ def sketch_words(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                 if n[i] and x not in seen:
                     seen.add(x)
                     fresh[i] = True
+            mine = fresh[row]
+            h, row = h[mine], row[mine]
             often = frequent.value
             rare = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] != h if len(often) else np.ones(len(h), bool)
-            n_rare = np.bincount(row[rare], minlength=len(n))
-            whole = fresh & (n_rare * 2 * t.numerator <= n * (3 * t.denominator - 2 * t.numerator))
-            for tag, use, take in ((0, fresh & (2 * n_rare > n), rare), (1, whole if len(often) else whole & False, np.ones(len(h), bool))):
-                mine = use[row] & take
-                for key, at in _keys(h[mine], row[mine], np.where(use, n, 0), t, tag):
-                    for a in range(0, len(key), 200_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(name[at[a : a + 200_000]])], names=["key", "name"])
+            for key, at in _keys(h, row, np.where(fresh, n, 0), t, rare):
+                for a in range(0, len(key), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 200_000]), pa.array(name[at[a : a + 200_000]])], names=["key", "name"])
 
     return C.id_and_text(docs).mapInArrow(run, "key long, name long")
 
@@ -220,7 +251,7 @@ def linked(texts: pa.RecordBatch, names: np.ndarray, side: np.ndarray, k: int, t
     words, _ = sketch(h, row, m, width, TRIES)
     words = words.reshape(m, -1)
     num, den = t.numerator, t.denominator
-    two = side.any() and not side.all()
+    two = bool(side.any() and not side.all())
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(m), np.arange(m))
     found: list[np.ndarray] = []
     for i in left.tolist():
@@ -252,58 +283,70 @@ def linked(texts: pa.RecordBatch, names: np.ndarray, side: np.ndarray, k: int, t
     return out
 
 
-def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, hub) of ordered (key, name): the least name of a key is its hub. Nothing is held but the last key and its hub."""
-    last_key, last_hub = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, name = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        hub = np.where(first >= 0, name[np.maximum(first, 0)], last_hub if last_hub is not None else 0)
-        last_key, last_hub = key[-1], hub[-1]
-        other = np.flatnonzero(name != hub)
-        if len(other):
-            pairs = np.unique(np.stack([name[other], hub[other]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["name", "hub"])
+def _contracted(group: DataFrame, blocks: Column, load, solve, tables: C.Tables) -> DataFrame:
+    """(u, v): links of groups (g, name, ...), a forest that has the components of all of a group's links.
+
+    Each block of a group and its hub are one cell, in which all links are found; then the members that are not linked to the hub
+    are compared with the members of all blocks. ``load`` adds what ``solve`` reads to rows (g, i, j, side, name)."""
+    parts = int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = ["g", "i", "j"]
+    columns = [*cells, "side", "name"]
+
+    def solved(rows: DataFrame) -> DataFrame:
+        return tables.keep(_by_cell(load(rows).repartition(parts, *cells).sortWithinPartitions(*cells), solve, "u long, v long"), "links")
+
+    sizes = group.groupBy("g").agg(blocks.alias("m"), F.min("name").alias("hub"))
+    dealt = group.join(sizes, "g").select("g", "name", "m", "hub", F.pmod(F.xxhash64("name"), F.col("m")).alias("block"))
+    dealt = tables.keep(dealt, "dealt")
+    each = dealt.select("g", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "name")
+    hubs = dealt.filter("m > 1 and name = hub").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"), "name")
+    links = solved(each.unionByName(hubs.select("g", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "name")))
+    large = dealt.filter("m > 1")
+    if large.isEmpty():
+        tables.drop(dealt)
+        return links
+    found = components(links, tables)
+    of = large.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.coalesce("component", "name"))
+    home = of.filter("name = hub").select("g", F.col("class").alias("home"))
+    left = tables.keep(of.join(home, "g").filter("class <> home").select("g", "name"), "left")
+    many = left.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("n"))
+    one = left.join(many, "g").join(sizes.select("g", "m"), "g").select("g", F.pmod(F.xxhash64("name"), F.col("n")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"), F.lit(0).alias("side"), "name")
+    other = large.join(many, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "name")
+    return links.unionByName(solved(one.select(columns).unionByName(other.select(columns))))
 
 
 def links(docs: DataFrame, digest: DataFrame, k: int, t: Fraction, tables: C.Tables) -> DataFrame:
     """(u, v): names of sets, a forest of links that has the components of all links between different sets."""
-    spark = docs.sparkSession
-    words = sketch_words(docs, k, t).repartition("key").sortWithinPartitions("key", "name")
-    met = tables.keep(words.mapInArrow(_hubs, "name long, hub long").distinct(), "met")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = digest.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("short").alias("short"))
-    group = met.unionByName(met.select(F.col("hub").alias("name"), "hub").distinct())
-    cells = ["hub", "i", "j"]
-
-    def dealt(members: DataFrame, blocks: Column, *more: str) -> DataFrame:
-        """Every member once to each pair of blocks that its own is in (one block meets itself), by pair."""
-        sizes = members.groupBy("hub").agg(blocks.alias("blocks"))
-        block = F.pmod(F.xxhash64("name"), F.col("blocks"))
-        pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("i"), F.greatest(j, block).alias("j"), (block > j).cast("int").alias("side")))
-        return members.join(sizes, "hub").select("hub", "name", F.explode(pair).alias("p"), *more).select("hub", "p.i", "p.j", F.col("p.side").alias("side"), "name", *more)
-
+    words = tables.keep(sketch_words(docs, k, t), "words")
+    first = words.groupBy("key").agg(F.min("name").alias("hub"), F.max("name").alias("last")).filter("hub <> last").select("key", "hub")
+    first = tables.keep(first, "shared")
+    tables.tidy()
+    met = tables.keep(words.join(first.hint("shuffle_hash"), "key").filter("name <> hub").select("name", "hub").distinct(), "met")
+    tables.drop(words, first)
+    sets = digest.filter("n_shingles > 0").groupBy("name").agg(F.first("n_shingles").alias("n"), F.first("short").alias("short"), F.min("of_text").alias("of_text"))
+    group = met.select(F.col("hub").alias("g"), "name").unionByName(met.select(F.col("hub").alias("g"), F.col("hub").alias("name")).distinct())
+    sets = tables.keep(sets.join(group.select("name").distinct(), "name", "left_semi"), "sets")
     # with short sketches: who has a partner at all
-    shown = dealt(group, F.ceil(F.count("*") / BLOCK_SETS)).join(sets.select("name", "n", "short"), "name").select(*cells, "side", "name", "n", "short")
-    near = tables.keep(_by_cell(shown.repartition(parts, *cells).sortWithinPartitions(*cells), _near(t), "u long, v long").distinct(), "near")
-    # sets that may be linked are in one component of these; it takes the hub's place, so that a text is shown once
-    alive = components(near, tables).select(F.col("node").alias("name"), F.col("component").alias("hub"))
-    alive = tables.keep(alive.join(sets.select("name", "doc_id", "n"), "name"), "alive")
-    # with their texts
-    text = C.id_and_text(docs).filter(F.col("doc_id").isNotNull())
+    near = _contracted(group, F.ceil(F.count("*") / BLOCK_SETS), lambda rows: rows.join(sets.select("name", "n", "short"), "name").select("g", "i", "j", "side", "name", "n", "short"), _near(t), tables)
+    # sets that may be linked are in one component of these
+    alive = components(near, tables).select(F.col("node").alias("name"), F.col("component").alias("g"))
+    alive = tables.keep(alive.join(sets.select("name", "n", "of_text"), "name"), "alive")
+    tables.drop(met, sets)
+    # with their texts, each found by its hash
+    text = C.id_and_text(docs).select(_of_text().alias("of_text"), "text").join(alive.select("of_text").distinct(), "of_text", "left_semi").dropDuplicates(["of_text"])
+    text = tables.keep(alive.select("name", "of_text").join(text, "of_text").select("name", "text"), "texts")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_WORDS))
-    shown = dealt(alive, blocks, "doc_id").join(text, "doc_id").select(*cells, "side", "name", "text")
-    return _by_cell(shown.repartition(parts, *cells).sortWithinPartitions(*cells, "name"), _verified(k, t), "u long, v long")
+    out = _contracted(alive, blocks, lambda rows: rows.join(text, "name").select("g", "i", "j", "side", "name", "text"), _verified(k, t), tables)
+    tables.drop(alive, text)
+    return out
 
 
 def _near(t: Fraction):
     def solve(b: pa.RecordBatch) -> pa.RecordBatch:
-        name, at = np.unique(b.column(4).to_numpy(), return_index=True)
+        at = np.unique(np.stack([b.column(3).to_numpy(), b.column(4).to_numpy()]), axis=1, return_index=True)[1]
+        name, side = b.column(4).to_numpy()[at], b.column(3).to_numpy()[at]
         short = b.column(6)
-        out = name[partners(b.column(5).to_numpy()[at], [short[int(i)].as_py() for i in at], t)]
+        out = name[partners(b.column(5).to_numpy()[at], [short[int(i)].as_py() for i in at], t, side)]
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["u", "v"])
 
     return solve
@@ -311,7 +354,7 @@ def _near(t: Fraction):
 
 def _verified(k: int, t: Fraction):
     def solve(b: pa.RecordBatch) -> pa.RecordBatch:
-        b = b.take(pa.array(np.unique(b.column(4).to_numpy(), return_index=True)[1]))  # ids may repeat
+        b = b.take(pa.array(np.unique(np.stack([b.column(3).to_numpy(), b.column(4).to_numpy()]), axis=1, return_index=True)[1]))
         out = linked(b, b.column(4).to_numpy(), b.column(3).to_numpy(), k, t)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
@@ -351,8 +394,14 @@ def join(docs: DataFrame, k: int = 4, threshold: float | Fraction = Fraction(85,
     t = Fraction(threshold).limit_denominator(10_000)
     tables = tables or C.Tables(docs.sparkSession)
     digest = tables.keep(digests(docs, k, t), "digests")
-    found = components(links(docs, digest, k, t, tables), tables)
-    named = digest.join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "name")))
-    named = tables.keep(named.select("doc_id", "n_shingles", "class"), "named")
-    least = named.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # rows of one id are one node
+    ids = digest.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("name").alias("u"), F.max("name").alias("v")).filter("u <> v")
+    same = digest.filter("n_shingles > 0").join(ids.select("doc_id", "u"), "doc_id").select("u", F.col("name").alias("v"))
+    found = components(links(docs, digest, k, t, tables).unionByName(same), tables).withColumnRenamed("node", "name")
+    # equal sets share a name, so ids are aggregated by name first and by class then, before any is shuffled
+    by_name = digest.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least")).join(found, "name", "left").withColumn("class", F.coalesce("component", "name"))
+    by_name = tables.keep(by_name.select("name", "class", "least"), "names")
+    least = by_name.groupBy("class").agg(F.min("least").alias("component_id"))
+    of = tables.keep(by_name.join(least, "class").select("name", "component_id"), "classes")
+    empty = digest.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return digest.filter("n_shingles > 0").join(of, "name").select("doc_id", "n_shingles", "component_id").unionByName(empty)
