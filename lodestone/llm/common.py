@@ -177,6 +177,18 @@ def words(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(off[1:], start, side="right")
 
 
+def bare(raw: np.ndarray, marks: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words without marks around them; words of marks only go."""
+    plain = ~marks[raw]
+    inner = np.concatenate([[0], np.cumsum(plain)])
+    keep = inner[end] > inner[start]
+    start, end, row = start[keep], end[keep], row[keep]
+    if len(start):
+        at = np.flatnonzero(plain)
+        start, end = at[inner[start]], at[inner[end] - 1] + 1
+    return start, end, row
+
+
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every run of k words; a row of fewer words has them all as one."""
     count = np.bincount(row, minlength=rows)
@@ -229,6 +241,15 @@ def id_and_text(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def without(docs: DataFrame, ids: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """The documents, in their columns, whose id is not among ``ids`` (doc_id); rows without an id stay. Up to ``most_broadcast``
+    ids, which are counted, are broadcast, so that no text is shuffled."""
+    (gone,) = unused(docs, "gone")
+    ids = ids.select(F.col("doc_id").cast("long").alias(gone)).filter(F.col(gone).isNotNull()).distinct()
+    few = ids.limit(most_broadcast + 1).count() <= most_broadcast
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+
+
 def map_text(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, *more: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``step`` on slices of (doc_id, text, *more), in Arrow batches, without a shuffle."""
 

@@ -13,7 +13,8 @@ Items are broadcast up to ``most_broadcast`` shingles; more are searched in bloc
 
 Words are lower-cased in A-Z, without marks around them. Defined cases: a text of fewer than k words is one shingle; a text
 without words holds nothing, and an item without words is found nowhere; ids that repeat are rows of their own (one row, if the items take several blocks); a null item id
-is reported as -1.
+is reported as -1; items that tie are all listed, in order of their ids; texts of any length are read whole; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,7 @@ _MARKS[list(b".,;:!?\"'()[]{}|*#$%&<>")] = True
 def word_shingles(off: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every shingle in order of place (shorter rows' single ones last)."""
     start, end, row = C.words(off, raw)
-    mark = _MARKS[raw]
-    inner = np.concatenate([[0], np.cumsum(~mark)])
-    keep = inner[end] > inner[start]
-    start, end, row = start[keep], end[keep], row[keep]
-    if len(start):
-        plain = np.flatnonzero(~mark)
-        start, end = plain[inner[start]], plain[inner[end] - 1] + 1
+    start, end, row = C.bare(raw, _MARKS, start, end, row)
     return C.shingles(C.Prefix(raw, lower=True)(start, end), row, len(off) - 1, k)
 
 
@@ -108,29 +104,30 @@ def candidates(items: Items, h: np.ndarray, row: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0)
 
 
+def _found(batch: pa.RecordBatch, items: Items, k: int, threshold: float) -> pa.RecordBatch:
+    """(doc_id, item_ids, containment) of a batch of (doc_id, text)."""
+    h, row = word_shingles(*C.offsets_of(batch.column(1)), k)
+    order = np.argsort(row, kind="stable")
+    h, row = h[order], row[order]
+    found: list[list[int]] = [[] for _ in range(batch.num_rows)]
+    best = np.zeros(batch.num_rows)
+    cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+    own_row, own = -1, np.empty(0, np.uint64)
+    for r, i in candidates(items, h, row).tolist():
+        if r != own_row:
+            own_row, own = r, np.unique(h[cut[r] : cut[r + 1]])
+        q = items.of(i)
+        n = int(np.isin(q, own, assume_unique=True).sum())
+        best[r] = max(best[r], n / len(q))
+        if n >= threshold * len(q) - 1e-9:
+            found[r].append(int(items.ids[i]))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(best)], names=["doc_id", "item_ids", "containment"])
+
+
+
 def _search(docs: DataFrame, items: Items, k: int, threshold: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items = shared.value
-        h, row = word_shingles(*C.offsets_of(batch.column(1)), k)
-        order = np.argsort(row, kind="stable")
-        h, row = h[order], row[order]
-        found: list[list[int]] = [[] for _ in range(batch.num_rows)]
-        best = np.zeros(batch.num_rows)
-        cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        own_row, own = -1, np.empty(0, np.uint64)
-        for r, i in candidates(items, h, row).tolist():
-            if r != own_row:
-                own_row, own = r, np.unique(h[cut[r] : cut[r + 1]])
-            q = items.of(i)
-            n = int(np.isin(q, own, assume_unique=True).sum())
-            best[r] = max(best[r], n / len(q))
-            if n >= threshold * len(q) - 1e-9:
-                found[r].append(int(items.ids[i]))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(best)], names=["doc_id", "item_ids", "containment"])
-
-    return C.map_text(docs, step, SCHEMA)
+    return C.map_text(docs, lambda batch: _found(batch, shared.value, k, threshold), SCHEMA)
 
 
 def collect_items(benchmark: DataFrame, k: int) -> Items:
@@ -147,15 +144,41 @@ def collect_items(benchmark: DataFrame, k: int) -> Items:
     return Items(got["item_id"].fillna(-1).to_numpy(np.int64), np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own) if own else np.empty(0, np.uint64))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, most_broadcast: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_ids, containment, contaminated) of every document; item_ids: items contained to ``threshold`` at least;
-    containment: the highest of its candidates."""
+def _blocks(benchmark: DataFrame, k: int, most_broadcast: int) -> list[DataFrame]:
+    """The items in blocks of about ``most_broadcast`` shingles."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     bytes_of_text = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(bytes_of_text) // (2 * most_broadcast)))  # a shingle takes two bytes of text at least
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    found = [_search(docs, collect_items(items.filter(block == b) if blocks > 1 else items, k), k, threshold) for b in range(blocks)]
-    out = found[0]
-    if blocks > 1:
+    return [items.filter(block == b) for b in range(blocks)] if blocks > 1 else [items]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, most_broadcast: int = 4_000_000, tables: C.Tables | None = None) -> DataFrame:
+    """(doc_id, item_ids, containment, contaminated) of every document; item_ids: items contained to ``threshold`` at least;
+    containment: the highest of its candidates. Of several blocks of items, one at a time is in the driver's memory: its pass is
+    written before the next is read."""
+    blocks = _blocks(benchmark, k, most_broadcast)
+    if len(blocks) == 1:
+        out = _search(docs, collect_items(blocks[0], k), k, threshold)
+    else:
+        tables = tables or C.Tables(docs.sparkSession)
+        found = [tables.keep(_search(docs, collect_items(items, k), k, threshold), "found") for items in blocks]
         out = reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.flatten(F.collect_list("item_ids")).alias("item_ids"), F.max("containment").alias("containment"))
+        out = out.withColumn("item_ids", F.sort_array("item_ids"))
     return out.withColumn("contaminated", F.size("item_ids") > 0)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, most_broadcast: int = 4_000_000) -> DataFrame:
+    """The documents, in their columns, that hold no item: a narrow pass for each block of items, nothing is joined."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark, k, most_broadcast):
+        shared = docs.sparkSession.sparkContext.broadcast(collect_items(block, k))
+
+        def run(batches, shared=shared):
+            for b in C.slices(batches):
+                own = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(at)], names=["doc_id", "text"])
+                yield b.filter(pa.compute.equal(pa.compute.list_value_length(_found(own, shared.value, k, threshold).column(1)), 0))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

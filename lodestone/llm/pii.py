@@ -130,7 +130,7 @@ TABLE = (
 def _shape(token: str) -> str:
     """Character classes, runs collapsed with their lengths up to 4."""
     out, last, run = [], "", 0
-    for ch in token[:200] + "\0":
+    for ch in token + "\0":
         c = "d" if "0" <= ch <= "9" else "X" if ch.isupper() else "x" if ch.isalpha() else ch
         if c != last:
             if last:

@@ -9,7 +9,9 @@ A pair of equal words has one bucket of its own, whatever the word, since repeti
 As the outputs are linear in the mean, scoring needs one number for each bucket, the difference of its two outputs.
 
 Defined cases: a null or empty text scores as the learned bias alone; without labels or with one class only, the bias is that
-class's smoothed share; rows with the same id count each for themselves.
+class's smoothed share; rows with the same id count each for themselves, and so do repeated texts; of an id that is labelled twice
+the higher label counts; a null id is never held out and has no label; texts of any length are read whole; equal texts have equal
+scores; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _REPEAT = np.uint64(1)
 
 
 def features(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every feature occurrence: words, pairs, and n-grams of bytes inside a row."""
+    """(bucket, row) of every feature occurrence: words, pairs, and n-grams of characters inside a row."""
     start, end, row = C.words(off, raw)
     at = C.Prefix(raw)
     h = at(start, end)
@@ -40,12 +42,14 @@ def features(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         pair = C.mix(a * C._MULT[0] + b * C._MULT[1]) >> np.uint64(64 - BITS)
         ids.append(np.where(a == b, _REPEAT, pair))
         rows.append(row[1:][near])
+    # characters begin at bytes that continue none; ends are the next characters' beginnings
+    edge = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    of = np.searchsorted(off[1:], edge[:-1], side="right")
     for n in NGRAMS:
-        if len(raw) >= n:
-            where = np.searchsorted(off[1:], np.arange(len(raw) - n + 1), side="right")
-            first = np.flatnonzero(np.arange(len(where)) + n <= off[1:][where])
-            ids.append(C.mix(at(first, first + n) + np.uint64(n)) >> np.uint64(64 - BITS))
-            rows.append(where[first])
+        if len(edge) > n:
+            inside = np.flatnonzero(edge[n:] <= off[1:][of[: len(edge) - n]])
+            ids.append(C.mix(at(edge[inside], edge[inside + n]) + np.uint64(n)) >> np.uint64(64 - BITS))
+            rows.append(of[inside])
     return np.concatenate(ids).astype(np.int64), np.concatenate(rows)
 
 

@@ -39,7 +39,6 @@ WINDOW, GRAM, MOST = 400, 32, 2000
 BLOCKS = (48, 6, 1)
 #: Bytes of pieces in one run-length index.
 INDEX_BYTES = 1 << 20
-_PLACE = 28  # bits of a place in a slice
 PIECES = "doc_id long, name long, place long, a_lo int, a_hi int, key long, sub long"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -65,8 +64,9 @@ def anchors(off: np.ndarray, raw: np.ndarray, window: int = WINDOW, gram: int =
     at = C.Prefix(raw)
     start = np.arange(n - gram + 1)
     h = at(start, start + gram)
-    v = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | start.astype(np.uint64)
-    least = sliding_min(v, window - gram + 1) & np.uint64((1 << _PLACE) - 1)
+    bits = np.uint64(max(28, n.bit_length()))  # of a place; 28 do for a slice, a text of its own may need more
+    v = (h >> bits << bits) | start.astype(np.uint64)
+    least = sliding_min(v, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
     good = np.arange(len(least)) + window <= off[1:][row]
     s = np.flatnonzero(good)

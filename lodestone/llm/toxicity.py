@@ -8,7 +8,9 @@ sentences and swapped likewise. Fitted by accelerated proximal gradient descent
 (``sample`` labelled rows); the L1 penalty leaves few weights, so long clean texts gather no score from chance words.
 
 Defined cases: a null or empty text scores as the bias alone; without any labelled row, or with one class only, the bias is that
-class's smoothed share; rows with the same id count each for themselves.
+class's smoothed share; rows with the same id count each for themselves, and so do repeated texts; of an id that is labelled twice
+the higher label counts; a null id is never held out and has no label; texts of any length are read whole; equal texts have equal
+scores; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,12 +43,7 @@ _MARKS[list(b".,;:!?\"'()[]{}|*#$%&<>-_/\\")] = True
 def features(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (feature, row) by row."""
     start, end, row = C.words(off, raw)
-    mark = _MARKS[raw]
-    for _ in range(8):  # marks around a word, up to eight at either end
-        start = start + (mark[np.minimum(start, len(raw) - 1)] & (start < end)) if len(raw) else start
-        end = end - (mark[np.maximum(end - 1, 0)] & (start < end)) if len(raw) else end
-    keep = start < end
-    start, end, row = start[keep], end[keep], row[keep]
+    start, end, row = C.bare(raw, _MARKS, start, end, row)
     at = C.Prefix(raw, lower=True)
     ids, rows = [at(start, end)], [row]
     for n in BEGINNINGS:
@@ -89,8 +86,8 @@ def _without(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
     return ids[row[at] != ids]
 
 
-def counterfactuals(rows: list[np.ndarray], groups: list[list[np.ndarray]], most: int = 6_000, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features removed, features added) of at most ``most`` swaps: in rows that name a term, then of terms added."""
+def counterfactuals(rows: list[np.ndarray], groups: list[list[np.ndarray]], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features removed, features added) of swaps: all in rows that name a term, and of terms added to every row."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     every = np.unique(np.concatenate([t for group in groups for t in group]))
     named = [k for k, x in enumerate(rows) if len(_without(every, x)) < len(every)]
@@ -100,12 +97,10 @@ def counterfactuals(rows: list[np.ndarray], groups: list[list[np.ndarray]], most
                 if len(_without(own, rows[k])):
                     continue
                 for j, other in enumerate(group):
-                    if j != i and len(out) < most:
+                    if j != i:
                         out.append((own[~np.isin(own, other)], _without(other[~np.isin(other, own)], rows[k])))
     rng = np.random.default_rng(seed)
     for x in rows:
-        if len(out) >= most:
-            break
         group = groups[rng.integers(len(groups))]
         i, j = rng.choice(len(group), 2, replace=False)
         out.append((_without(group[i], x), _without(group[j], x)))
