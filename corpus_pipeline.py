@@ -5,16 +5,10 @@ from __future__ import annotations
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestone.llm import common, decontaminate, jaccard_join, line_dedup, packing, toxicity
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``ids``; rows without an id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-
-
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier marks go. It scores and filters in one pass, as the score is a column of the row."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -28,13 +22,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group, by five-word shingles with a Jaccard index of 0.8 or more, the document of the least id stays."""
     found = jaccard_join.join(docs, k=5, threshold=Fraction(8, 10))
-    return _without(docs, found.filter("component_id <> doc_id"))
+    return common.without(docs, found.filter("component_id <> doc_id"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; the search is a narrow pass, and only their ids are joined."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated"))
+    """Documents that hold a benchmark item go; it searches and filters in one narrow pass."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
