@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a step handles at once; the scratch arrays are a few dozen times as large.
@@ -51,12 +51,21 @@ class Tables:
         atexit.register(_remove, spark, self.root)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        return self._keep(df, name)
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         schema = df.schema
         df.write.option("maxRecordsPerFile", 0).parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def observed(self, df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, dict]:
+        """The kept table, and figures (its count as ``n``, and other aggregates) taken while it is written."""
+        seen = Observation()
+        kept = self._keep(df.observe(seen, F.count(F.lit(1)).alias("n"), *figures), name)
+        return kept, seen.get
+
     def drop(self, *consumed: DataFrame) -> None:
         """Removes tables that nothing reads any more, and the shuffle files of plans that are done."""
         for df in consumed:
@@ -67,6 +76,7 @@ class Tables:
     def tidy(self) -> None:
         """Spark removes a plan's shuffle files once the driver's garbage collector has found the plan unused."""
         gc.collect()
+        pa.default_memory_pool().release_unused()
         self.spark._jvm.System.gc()
 
 

@@ -30,18 +30,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, tables: C.Tables, most_rounds: int = 100) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v longs): the smallest node reachable. Nulls and loops are ignored."""
-    edges = tables.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    print_of = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first())
-    seen = print_of(edges)
+    marks = (F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31))).alias("y"))
+    edges, seen = tables.observed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", *marks)
     for _ in range(most_rounds):
-        if not seen[0]:
+        if not seen["n"]:
             break
-        before, edges = edges, tables.keep(_star(_star(edges, True), False), "star")
+        before, last = edges, seen
+        edges, seen = tables.observed(_star(_star(edges, True), False), "star", *marks)
         tables.drop(before)
-        now = print_of(edges)
-        if now == seen:
+        if seen == last:
             break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

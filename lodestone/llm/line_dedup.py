@@ -101,12 +101,14 @@ def similar(pairs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) ->
     return pairs.filter(rough & exact).select("u", "v")
 
 
-def _met(band: DataFrame, tables: C.Tables) -> DataFrame:
-    """Of (key, name, place, ...) the rows of keys that several names share, with ``hub``, the place of the first of them."""
-    first = band.groupBy("key").agg(F.min("place").alias("hub"), F.max("place").alias("last")).filter("hub <> last").select("key", "hub")
-    first = tables.keep(first, "keys")
-    tables.tidy()
-    return tables.keep(band.join(first.hint("shuffle_hash"), "key"), "met")  # the shared keys are few, so they are the side to build
+def _first(band: DataFrame) -> DataFrame:
+    """(key, hub) of the keys that several names share: the place of the first of them."""
+    return band.groupBy("key").agg(F.min("place").alias("hub"), F.max("place").alias("last")).filter("hub <> last").select("key", "hub")
+
+
+def _met(band: DataFrame, first: DataFrame) -> DataFrame:
+    """Of (key, name, place, ...) the rows of shared keys, with their hubs. These keys are few, so they are the side to build."""
+    return band.join(first.hint("shuffle_hash"), "key")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -123,24 +125,26 @@ def _several(rows: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tables: C.Tables) -> DataFrame:
     """(node, component) of the names that are linked; distinct: (name, place, keys)."""
-    met = _met(distinct.select("name", "place", F.col("name").alias("class"), F.explode(F.flatten("keys")).alias("key")).filter("key is not null"), tables)
+    band = distinct.select("name", "place", F.col("name").alias("class"), F.explode(F.flatten("keys")).alias("key")).filter("key is not null")
+    first = tables.keep(_first(band), "keys")
     tables.tidy()
+    met = tables.keep(_met(band, first), "met")
+    tables.drop(first)
     tried = tables.keep(_pairs(met), "pairs")
     wanted = tried.select(F.explode(F.array("u", "v")).alias("name")).distinct()
     texts = lines(docs).filter(_takes_part()).select(F.xxhash64("line").alias("name"), "line").join(wanted, "name", "left_semi").dropDuplicates(["name"])
     texts = tables.keep(texts, "texts")  # all names that any later round pairs have met a hub in the first
     tables.tidy()
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> tuple[DataFrame, dict]:
         both = pairs.join(texts.select(F.col("name").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("name").alias("v"), F.col("line").alias("b")), "v")
-        return tables.keep(similar(both, k, threshold), "similar")
+        return tables.observed(similar(both, k, threshold), "similar")
 
-    found = components(verified(tried), tables)
+    found = components(verified(tried)[0], tables)
     sets = None
     for depth in range(2, BANDS + 1):
         of = met.drop("class").join(found.withColumnRenamed("node", "name"), "name", "left").withColumn("class", F.coalesce("component", "name"))
-        rest = tables.keep(of.join(_several(of), "key", "left_semi").drop("hub", "component"), "rest")
-        tables.drop(met)
+        rest = of.join(_several(of), "key", "left_semi").drop("hub", "component")
         if sets is None:  # band keys of the names that are left
             sets = tables.keep(distinct.select("name", F.col("keys").alias("all")).join(rest.select("name").distinct().hint("shuffle_hash"), "name", "left_semi"), "sets")
         rest = rest.join(sets, "name")
@@ -149,16 +153,17 @@ def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tabl
         later = F.transform(F.get("all", F.col("side")), lambda x, i: F.when(i >= F.col("last"), F.struct(F.xxhash64("key", x).alias("key"), (i + 1).cast("int").alias("last"), x.alias("x"))))
         finer = rest.select("name", "place", "class", "side", F.explode(later).alias("to")).filter("to.x is not null").select("name", "place", "class", "side", F.col("to.key").alias("key"), F.col("to.last").alias("last"))
         finer = tables.keep(finer, "finer")
-        met = _met(finer.join(_several(finer), "key", "left_semi"), tables)
-        tables.drop(finer)
-        fresh = tables.keep(_pairs(met).join(tried, ["u", "v"], "left_anti"), "fresh")
-        if met.isEmpty():
+        before = met
+        met, about = tables.observed(_met(finer.join(_several(finer), "key", "left_semi"), _first(finer)), "met")
+        tables.drop(finer, before)
+        if not about["n"]:
             break
-        if fresh.isEmpty():
+        fresh, about = tables.observed(_pairs(met).join(tried, ["u", "v"], "left_anti"), "fresh")
+        if not about["n"]:
             continue
         tried = tried.unionByName(fresh)
-        linked = verified(fresh)
-        if not linked.isEmpty():  # known components are stars already
+        linked, about = verified(fresh)
+        if about["n"]:  # known components are stars already
             found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(linked), tables)
     tables.drop(texts)
     return found

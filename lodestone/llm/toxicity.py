@@ -201,8 +201,12 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, thres
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **training) -> DataFrame:
-    """The documents, in their columns, that score below the threshold: one narrow pass, nothing is joined."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **training))
+    """The documents, in their columns, that score below the threshold: one narrow pass, nothing is joined. A model that has learned
+    no weight (no labels, or of one class only) tells no document from another and rejects none."""
+    model = train(docs, labels, **training)
+    if not len(model.index):
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -481,7 +482,7 @@ def test_lines(spark, docs, texts, empty):
     got = {(r["doc_id"], r["line_no"]): (r["kept"], r["keeper_doc_id"], r["keeper_line_no"]) for r in line_dedup.judged(docs).collect()}
     every = [(i, n, x) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
     assert set(got) == {(i, n) for i, n, _ in every}
-    own = [(i, n, x, frozenset(x[j : j + 5] for j in range(len(x) - 4))) for i, n, x in every if len(x) >= 20]
+    own = [(i, n, x, frozenset(x[j : j + 5] for j in range(max(1, len(x) - 4)))) for i, n, x in every if x.strip(" \t\n\x0b\f\r")]
     up = list(range(len(own)))
 
     def root(i):
@@ -540,6 +541,38 @@ def test_lines_without_spaces_are_signed_whole(spark):
     assert all(got[i] == got[i + 1] == i for i in [*range(0, 32, 2), *range(52, 68, 2)])
 
 
+def _edited(rng, line, share):
+    """The line with about ``share`` of its characters replaced."""
+    out = list(line)
+    for _ in range(max(1, round(share * len(out)))):
+        out[rng.randrange(len(out))] = rng.choice("qxzjk")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("kind", ["words", "few words", "no spaces"])
+def test_recall_of_similar_lines(spark, kind):
+    """Edits spread over a line bring it near the threshold; nine in ten similar pairs at least must meet, and nothing else."""
+    rng, texts = random.Random(kind), []
+    for _ in range(150):
+        if kind == "words":
+            line = " ".join("".join(rng.choices(PARTS, k=rng.randint(1, 3))) for _ in range(rng.randint(14, 60)))
+        elif kind == "few words":
+            line = " ".join("".join(rng.choices("abcdefghij", k=rng.randint(8, 20))) for _ in range(rng.randint(2, 3)))
+        else:
+            line = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(rng.randint(30, 90)))
+        texts += [line, _edited(rng, line, rng.choice([0.01, 0.02]))]
+    sets = [frozenset(x[j : j + 5] for j in range(max(1, len(x) - 4))) for x in texts]
+    alike = {i for i in range(0, 300, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    got = {r["doc_id"]: r["keeper_doc_id"] for r in line_dedup.judged(frame(spark, texts)).collect()}
+    met = {i for i in range(0, 300, 2) if got[i] == got[i + 1]}
+    assert len(alike) > 30 and met <= alike and len(met) >= 0.97 * len(alike)
+
+
+def test_short_lines_and_blank_lines(spark):
+    got = {(r["doc_id"], r["line_no"]): (r["kept"], r["keeper_doc_id"]) for r in line_dedup.judged(frame(spark, ["short dup\n\n \nab", "short dup\n\n \nab", "short dip\nabc"])).collect()}
+    assert [p for p, (kept, _) in sorted(got.items()) if not kept] == [(1, 0), (1, 3)] and got[1, 0][1] == got[1, 3][1] == 0
+
+
 def test_lines_stay_in_the_jvm(docs):
     plan = line_dedup.judged(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -548,12 +581,187 @@ def test_lines_stay_in_the_jvm(docs):
 # repeated ids and null ids
 
 
+def _values(found):
+    """Rows without the id, as a multiset."""
+    return collections.Counter(tuple(sorted((k, str(v)) for k, v in r.asDict().items() if k not in ("doc_id", "held_out", "sequence_id", "offset", "component_id"))) for r in found.collect())
+
+
 def test_rows_with_equal_or_no_ids(spark):
+    """What depends on a row's text alone is the same whatever the ids are."""
+    P = pytest.importorskip("public_tokenizers")
     rng = random.Random(10)
-    texts = [prose(rng, 40), prose(rng, 40), prose(rng, 100), None]
-    df = frame(spark, [*texts, *texts], ids=[1, 1, None, None] * 2)
-    for found in (suffix_dedup.dedup(df), jaccard_join.join(df), quality_rules.judge(df, labels(spark, [])), pii.find(df), line_dedup.dedup(df)):
-        assert found.count() >= 4
+    texts = [prose(rng, 40), prose(rng, 40), prose(rng, 100), None, "a@b.cd 1.2.3.4", prose(rng, 300)] * 2
+    ids = [1, 1, None, None, 2, 2] * 2
+    odd, plain = frame(spark, texts, ids=ids), frame(spark, texts)
+    none, items = labels(spark, []), spark.createDataFrame([(0, " ".join((texts[0] or "").split()[:20])), (None, texts[1])], "item_id long, text string")
+    for run in (
+        suffix_dedup.dedup, lambda d: toxicity.score(d, none), lambda d: packing.pack(d, P.path("word_bpe_49k.json")), lambda d: decontaminate.find(d, items), pii.find, lambda d: quality_classifier.score(d, none),
+        lambda d: quality_rules.judge(d, none), jaccard_join.join, lambda d: token_counts.token_counts(d, P.path("piece_bpe_32k.model")),
+    ):
+        assert _values(run(odd)) == _values(run(plain))
+    assert all(not r["held_out"] for r in toxicity.score(odd, none).filter("doc_id is null").collect())
+    places = collections.Counter((r["sequence_id"], r["offset"]) for r in packing.pack(odd, P.path("word_bpe_49k.json")).collect())
+    assert max(places.values()) == 1
+    lines = line_dedup.judged(odd).groupBy("doc_id", "line_no").agg(F.countDistinct("kept").alias("n"))
+    assert lines.filter("n > 1").count() == 0  # rows of one id and line number share a fate
+    texts_left = [r["text"] for r in line_dedup.dedup(frame(spark, ["same line here", "same line here"], ids=[None, 3])).collect()]
+    assert texts_left == ["same line here"]
+
+
+def test_join_with_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    texts, ids = [], []
+    for family in range(25):
+        base = rng.choices(words, k=rng.choice([1, 4, 9, 30, 90, 400]))
+        for _ in range(rng.choice([1, 2, 6])):
+            x = list(base)
+            for _ in range(rng.choice([0, 1, len(x) // 25])):
+                x[rng.randrange(len(x))] = rng.choice(words)
+            texts.append(" ".join(x))
+            ids.append(rng.choice([None, rng.randrange(20)]) if rng.random() < 0.4 else 1000 + len(texts))
+    texts, ids = [*texts, None, ""], [*ids, 5000, 5001]
+    sets = [shingles(x, 4) for x in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            same = ids[i] is not None and ids[i] == ids[j]
+            if sets[i] and sets[j] and (same or len(sets[i] & sets[j]) * 100 >= 85 * len(sets[i] | sets[j])):
+                up[root(i)] = root(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None and sets[i]:
+            least[root(i)] = min(d, least.get(root(i), d))
+    want = collections.Counter((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, d in enumerate(ids))
+    assert collections.Counter(map(tuple, jaccard_join.join(frame(spark, texts, ids=ids)).collect())) == want
+
+
+# scores by brute force
+
+
+_M64 = (1 << 64) - 1
+
+
+def _mixed(x):
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ (x >> shift)) * by) & _M64
+    return x ^ (x >> 31)
+
+
+def _hash(b, lower=False):
+    b = b.lower() if lower else b
+    total = sum(int(C._BYTE[x]) * pow(C._BASE, i, 1 << 64) for i, x in enumerate(b))
+    return _mixed((total + len(b) * int(C._ODD)) & _M64)
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-z))
+
+
+def test_toxicity_scores_by_brute_force(spark, texts):
+    rng = np.random.default_rng(2)
+    index = np.arange(1 << toxicity.BITS)
+    model = toxicity.Model(index, rng.normal(size=len(index)) * 0.05, -0.3)
+    some = [t or "" for t in texts if len(t or "") < 3000] + ["(((((((((( women!!!!!!!!!!!!!!", ".,;", "Ünï"]
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in some])])
+    got = model.scores(off, np.frombuffer("".join(some).encode(), np.uint8))
+    marks = bytes(np.flatnonzero(toxicity._MARKS).tolist())
+    for t, score in zip(some, got, strict=True):
+        found = set()
+        for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode()):
+            if w := w.strip(marks):
+                found.add(_hash(w, True) >> (64 - toxicity.BITS))
+                found |= {_mixed((_hash(w[:n], True) + n) & _M64) >> (64 - toxicity.BITS) for n in toxicity.BEGINNINGS if len(w) > n}
+        assert score == pytest.approx(_sigmoid(model.bias + sum(model.weight[f] for f in found)), abs=1e-9)
+
+
+def test_quality_scores_by_brute_force(texts):
+    rng = np.random.default_rng(3)
+    Q = quality_classifier
+    model = Q.Model(rng.normal(size=1 << Q.BITS), 0.2)
+    some = [t or "" for t in texts if len(t or "") < 1500] + ["日本語テスト 🙂🙂🙂🙂", "a a a"]
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in some])])
+    got = model.scores(off, np.frombuffer("".join(some).encode(), np.uint8))
+    for t, score in zip(some, got, strict=True):
+        words = [_hash(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode())]
+        found = [w >> (64 - Q.BITS) for w in words]
+        for a, b in zip(words, words[1:], strict=False):
+            found.append(int(Q._REPEAT) if a == b else _mixed((a * int(C._MULT[0]) + b * int(C._MULT[1])) & _M64) >> (64 - Q.BITS))
+        for n in Q.NGRAMS:
+            found += [_mixed((_hash(t[i : i + n].encode()) + n) & _M64) >> (64 - Q.BITS) for i in range(len(t) - n + 1)]
+        mean = sum(model.scalar[f] for f in found) / len(found) if found else 0
+        assert score == pytest.approx(_sigmoid(model.bias + mean), abs=1e-9)
+
+
+def test_items_in_blocks(spark, docs, texts):
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t and len(t) < 4000], "item_id long, text string")
+    one, many = decontaminate.find(docs, items), decontaminate.find(docs, items, most_broadcast=3000)
+    key = lambda r: (r["doc_id"], r["item_ids"], r["contaminated"])
+    assert sorted(map(key, one.collect())) == sorted(map(key, many.collect()))
+    clean = {r["doc_id"] for r in one.collect() if not r["contaminated"]}
+    for size in (4_000_000, 3000):
+        kept = decontaminate.keep_clean(docs, items, most_broadcast=size)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == clean
+
+
+def test_without(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "c", 3)], "doc_id long, own_gone string, _own_gone int")
+    gone = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    for most in (10, 0):
+        assert sorted(r["own_gone"] for r in C.without(df, gone, most).collect()) == ["b", "c"]
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    class Bare:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, key):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Bare()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        C.shared_dir(Session())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_repeats_of_the_whole_table(spark):
+    """The query over all of sf0.01 against suffix-free brute force by window hashes."""
+    from lodestone.llm import queries
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    data = [(r["text"] or "").encode() for r in table]
+    seen, windows = collections.Counter(), []
+    for b in data:
+        raw = np.frombuffer(b, np.uint8)
+        start = np.arange(max(0, len(b) - 399))
+        windows.append(C.Prefix(raw)(start, start + 400).tolist() if len(start) else [])
+        seen.update(windows[-1])
+    want = {}
+    for r, b, own in zip(table, data, windows, strict=True):
+        gone = np.zeros(len(b) + 1, int)
+        for i, h in enumerate(own):
+            if seen[h] > 1:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        gone = np.cumsum(gone)[: len(b)] > 0
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        want[r["doc_id"]] = (len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op1_suffix_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and sum(w[1] for w in want.values()) > 0
 
 
 # the pipeline
@@ -584,3 +792,61 @@ def test_pipeline(spark, tmp_path):
     assert not after["decontamination"] & set(range(80, 85)) and set(range(40)) <= after["decontamination"]
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in final.collect()} == after["packing"]
+
+
+def test_pipeline_of_nothing_and_odd_columns(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    labels(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    odd = frame(spark, ["x y z\nx y z\nmore", "x y z", None, ""]).withColumns({c: F.lit(c) for c in ("_kept", "_doc", "_text", "_gone", "own_doc", "own_text", "own_fate", "own_gone")})
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd.columns
+    left = {r["doc_id"]: (r["text"], r["_text"], r["own_fate"]) for r in docs.collect()}
+    assert left[0] == ("x y z\nmore", "_text", "own_fate") and 1 not in left and set(left) == {0, 2, 3}
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """What the line, similarity and benchmark stages keep, each recomputed from its own input."""
+    import corpus_pipeline
+
+    texts = corpus(31, 30)
+    items = [t for t in texts if t and 20 < len(t.split()) < 80][:3]
+    labels(spark, []).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, docs = dict(corpus_pipeline.STAGES), frame(spark, texts)
+
+    def kept(name, docs):
+        out = stages[name](spark, docs, str(tmp_path))
+        return out, {r["doc_id"]: r["text"] for r in out.collect()}
+
+    docs, after = kept("line_dedup", docs)
+    gone = {(r["doc_id"], r["line_no"]) for r in line_dedup.judged(frame(spark, texts)).filter("not kept").collect()}
+    for i, t in enumerate(texts):
+        left = t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)
+        assert after.get(i) == left if t is None or left == t or left.strip() else i not in after
+    before = after
+    docs, after = kept("jaccard_join", docs)
+    sets, up = {i: shingles(t, 5) for i, t in before.items()}, {i: i for i in before}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    assert set(after) == {i for i in before if root(i) == i}
+    before = after
+    docs, after = kept("decontamination", docs)
+    bare = lambda t: " ".join(w for x in WORD.findall(t or "") if (w := x.strip(".,;:!?\"'()[]{}|*#$%&<>")))
+    found = {i for i, t in before.items() for q in items if shingles(bare(q), 5) and 10 * len(shingles(bare(q), 5) & shingles(bare(t), 5)) >= 8 * len(shingles(bare(q), 5))}
+    assert set(after) == set(before) - found and found
