@@ -40,3 +40,8 @@ def url_query(q: Column | str) -> Column:
     keyed = F.transform(pairs, lambda p: F.struct(unescape(F.substring_index(p, "=", 1)).alias("key"), value(p).alias("value")))
     last = F.filter(keyed, lambda x, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)
+
+
+def json_escape(s: Column | str) -> Column:
+    """A string as it stands between the quotes of JSON."""
+    return F.regexp_replace(F.to_json(F.array(_col(s))), r'^\["|"\]$', "")

@@ -36,7 +36,7 @@ def reciprocal_rank(first_truth: Column | str, predicted: Column | str) -> Colum
 def evaluate_search(df: DataFrame, quantizer: Quantizer, queries: Sequence[tuple[int, Sequence[float]]], k: int, metric: Metric | str | int = "l2", column: str = "embedding", itself: bool = False) -> DataFrame:
     """One row: mean recall, precision and reciprocal rank of search over codes against exact search, 0 without queries.
     ``itself`` compares the search over codes with itself, which is always 1."""
-    coded = quantizer.dequantize(quantizer.quantize(df.select("vec_id", column), column, "_codes"), "_codes", "_decoded")
+    coded = quantizer.decoded(df.select("vec_id", column), column, "_decoded")
 
     def ids(found: DataFrame, name: str) -> DataFrame:
         return found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda r: r["vec_id"]).alias(name))  # k ids each

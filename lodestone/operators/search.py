@@ -30,8 +30,10 @@ def distances(df: DataFrame, query: Sequence[float] | Column, metric: Metric | s
 
 def top_k(df: DataFrame, query: Sequence[float] | Column, k: int, metric: Metric | str | int = "l2", column: str = "embedding", function: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(vec_id, distance), nearest first. ``function`` replaces the metric by any column expression of (query, vector)."""
-    found = distances(df, query, metric, column, function).filter(finite(F.col("distance")))
-    return found.select("vec_id", "distance").orderBy("distance", "vec_id").limit(max(k, 0))
+    # as a lambda's variable a distance is computed once; a filter before the limit would compute it again at the scan
+    found = distances(df, query, metric, column, function).select("vec_id", "distance")
+    found = found.withColumn("distance", F.get(F.transform(F.array("distance"), lambda d: F.when(finite(d), d)), F.lit(0)))
+    return found.orderBy(F.col("distance").asc_nulls_last(), "vec_id").limit(max(k, 0)).filter(F.col("distance").isNotNull())
 
 
 def top_k_quantized(df: DataFrame, quantizer: Quantizer, query: Sequence[float], k: int, metric: Metric | str | int = "l2", codes: str = "codes") -> DataFrame:

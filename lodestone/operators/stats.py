@@ -10,7 +10,7 @@ from lodestone.operators.quantizer import Quantizer
 
 
 def _errors(df: DataFrame, quantizer: Quantizer, column: str) -> DataFrame:
-    coded = quantizer.dequantize(quantizer.quantize(df.select(column), column, "_codes"), "_codes", "_decoded")
+    coded = quantizer.decoded(df.select(column), column, "_decoded")
     pairs = coded.select(F.posexplode(F.arrays_zip(F.col(column).alias("v"), F.col("_decoded").alias("r"))).alias("dim", "p"))
     return pairs.select("dim", F.col("p.v").alias("v"), F.col("p.r").alias("r"), (F.col("p.v").cast("double") - F.col("p.r").cast("double")).alias("d"))
 

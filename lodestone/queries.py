@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone import config as C
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
 from lodestone.operators import index as I
@@ -31,8 +32,12 @@ def _vector(df: DataFrame, vec_id: int) -> list[float]:
     return df.filter(F.col("vec_id") == vec_id).first()["embedding"]
 
 
-def _queries(df: DataFrame, n: int) -> list[tuple[int, list[float]]]:
-    return [(r["vec_id"], r["embedding"]) for r in df.filter(F.col("vec_id") < n).collect()]  # n rows
+#: The stated query set of the searches: every fiftieth id.
+EACH = 50
+
+
+def _queries(df: DataFrame) -> list[tuple[int, list[float]]]:
+    return [(r["vec_id"], r["embedding"]) for r in df.filter(F.col("vec_id") % EACH == 0).toLocalIterator()]
 
 
 def _r(c: Column, digits: int = 6) -> Column:
@@ -221,8 +226,8 @@ def _quantized_sql(query: str) -> str:
 def topk_quantized_l2(spark, sf_dir):
     """The flagship: fit, code, decode, distance, nearest."""
     df = _embeddings(spark, sf_dir)
-    coded, q = _coded(df)
-    return S.top_k(q.dequantize(coded), _vector(df, 0), K, "l2", "decoded").select("vec_id", _r(F.col("distance")).alias("distance"))
+    q = Q.calibrate(df)
+    return S.top_k(q.decoded(df), _vector(df, 0), K, "l2", "decoded").select("vec_id", _r(F.col("distance")).alias("distance"))
 
 
 @_query(_quantized_sql("r"))
@@ -233,7 +238,7 @@ def topk_query_quantized(spark, sf_dir):
 
 
 _BATCH = (
-    "WITH t AS (SELECT query_id, vec_id, {d} AS d FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10)), "
+    "WITH t AS (SELECT query_id, vec_id, {d} AS d FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0)), "
     f"o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INTEGER) AS rank FROM t) SELECT query_id, vec_id, rank, round(d, 6) + 0.0 AS distance FROM o WHERE rank <= {K}"
 )
 
@@ -241,13 +246,13 @@ _BATCH = (
 @_query(_BATCH.replace("{d}", _L2S))
 def batch_topk(spark, sf_dir):
     df = _embeddings(spark, sf_dir)
-    return S.batch_top_k(df, _queries(df, 10), K).select("query_id", "vec_id", "rank", _r(F.col("distance")).alias("distance"))
+    return S.batch_top_k(df, _queries(df), K).select("query_id", "vec_id", "rank", _r(F.col("distance")).alias("distance"))
 
 
 @_query(_BATCH.replace("{d}", _COS))
 def batch_topk_expressions(spark, sf_dir):
     df = _embeddings(spark, sf_dir)
-    queries = df.filter(F.col("vec_id") < 10).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = df.filter(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return S.top_k_by_query(df, queries, K, "cosine").select("query_id", "vec_id", "rank", _r(F.col("distance")).alias("distance"))
 
 
@@ -272,10 +277,10 @@ def page_range(spark, sf_dir):
     return L.page(_embeddings(spark, sf_dir), 20, 50).select("vec_id", F.size("embedding").alias("dims"))
 
 
-@_query("SELECT CAST(floor(vec_id / 64) AS BIGINT) AS chunk, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 5) AS firsts FROM embeddings GROUP BY 1")
+@_query("SELECT CAST(floor(vec_id / 64) AS BIGINT) AS chunk, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) + 0.0 AS total FROM embeddings GROUP BY 1")
 def chunked_read(spark, sf_dir):
     c = L.chunks(_embeddings(spark, sf_dir), 64)
-    return c.select("chunk", F.size("vectors").cast("long").alias("n"), F.round(F.aggregate("vectors", F.lit(0.0), lambda s, v: s + v[0].cast("double")), 5).alias("firsts"))
+    return c.select("chunk", F.size("vectors").cast("long").alias("n"), _r(F.aggregate(F.flatten("vectors"), F.lit(0.0), lambda s, v: s + v.cast("double")), 4).alias("total"))
 
 
 # errors
@@ -369,8 +374,13 @@ def pipeline_roundtrip(spark, sf_dir):
 
 @_query(f"{_CODED} SELECT dim, code, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM c GROUP BY dim, code")
 def index_postings_count(spark, sf_dir):
-    p = I.postings(I.build(_coded(_embeddings(spark, sf_dir))[0]))
-    return p.select("dim", F.col("code").cast("int").alias("code"), F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    return I.counts(I.build(_coded(_embeddings(spark, sf_dir))[0])).withColumn("code", F.col("code").cast("int"))
+
+
+@_query(f"{_CODED} SELECT dim, code, CAST(vec_id // 256 AS BIGINT) AS block, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS ids FROM c GROUP BY ALL")
+def index_postings(spark, sf_dir):
+    p = I.postings(I.build(_coded(_embeddings(spark, sf_dir))[0]), 256)
+    return p.select("dim", F.col("code").cast("int").alias("code"), "block", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @_query(f"{_CODED} SELECT vec_id FROM c WHERE dim = 3 AND code = 128")
@@ -384,7 +394,7 @@ def index_stats(spark, sf_dir):
 
 
 _HITS = (
-    f"{_CODED}, q AS (SELECT vec_id AS query_id, dim, v AS w FROM d WHERE vec_id < 10), "
+    f"{_CODED}, q AS (SELECT vec_id AS query_id, dim, v AS w FROM d WHERE vec_id % 50 = 0), "
     "t AS (SELECT query_id, vec_id, sum((CAST(v AS DOUBLE) - CAST(w AS DOUBLE)) * (CAST(v AS DOUBLE) - CAST(w AS DOUBLE))) AS exact, sum((CAST(r AS DOUBLE) - CAST(w AS DOUBLE)) * (CAST(r AS DOUBLE) - CAST(w AS DOUBLE))) AS coded FROM d JOIN q USING (dim) GROUP BY query_id, vec_id), "
     "o AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY coded, vec_id) AS b FROM t) "
 )
@@ -393,14 +403,14 @@ _HITS = (
 @_query(f"{_HITS} SELECT round(avg(h) / {K}, 6) AS recall_at_k, round(avg(h) / {K}, 6) AS precision_at_k FROM (SELECT query_id, count(*) FILTER (WHERE a <= {K} AND b <= {K}) AS h FROM o GROUP BY query_id)")
 def recall_at_k(spark, sf_dir):
     df = _embeddings(spark, sf_dir)
-    r = M.evaluate_search(df, Q.calibrate(df), _queries(df, 10), K)
+    r = M.evaluate_search(df, Q.calibrate(df), _queries(df), K)
     return r.select(_r(F.col("recall_at_k")).alias("recall_at_k"), _r(F.col("precision_at_k")).alias("precision_at_k"))
 
 
 @_query(f"{_HITS} SELECT round(avg(m), 6) AS mrr FROM (SELECT query_id, max(CASE WHEN a = 1 AND b <= {K} THEN 1.0 / b ELSE 0 END) AS m FROM o GROUP BY query_id)".replace("1.0 / b", "CAST(1 AS DOUBLE) / b"))
 def mrr(spark, sf_dir):
     df = _embeddings(spark, sf_dir)
-    return M.evaluate_search(df, Q.calibrate(df), _queries(df, 10), K).select(_r(F.col("mrr")).alias("mrr"))
+    return M.evaluate_search(df, Q.calibrate(df), _queries(df), K).select(_r(F.col("mrr")).alias("mrr"))
 
 
 # text
@@ -418,11 +428,127 @@ def parse_json_vectors(spark, sf_dir):
     return _long(datasets.from_json(spark, "[[0, 1, 2], [3,4,5]]"), "embedding")
 
 
-@_query(f"WITH {_E}, s AS (SELECT vec_id, dim, v FROM e WHERE vec_id < 100 AND dim < 4) SELECT vec_id, dim, round(CAST(CAST(printf('%.6f', CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS value FROM s")
+@_query(f"WITH {_E} SELECT vec_id, dim, round(CAST(CAST(printf('%.6f', CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS value FROM e")
 def parse_text_vectors(spark, sf_dir):
-    df = _embeddings(spark, sf_dir).filter("vec_id < 100")
-    line = F.array_join(F.transform(F.slice("embedding", 1, 4), lambda x: F.format_string("%.6f", x.cast("double"))), ", ")
-    return _long(df.select("vec_id", T.parse_vector(line).alias("v")), "v")
+    line = F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), ", ")
+    return _long(_embeddings(spark, sf_dir).select("vec_id", T.parse_vector(line).alias("v")), "v")
+
+
+@_query(f"WITH {_E} SELECT vec_id, dim, round(CAST(CAST(printf('%.6f', CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS value FROM e")
+def parse_json_rows(spark, sf_dir):
+    line = F.concat(F.lit("[["), F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), ", "), F.lit("]]"))
+    return _long(_embeddings(spark, sf_dir).select("vec_id", F.get(T.parse_vectors(line), F.lit(0)).alias("v")), "v")
+
+
+@_query("SELECT url, 'id' || CAST(page_id AS VARCHAR) AS first, 'b c' AS second, CAST(2 AS INTEGER) AS n FROM pages")
+def query_string(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    m = T.url_query(F.concat(F.lit("a=x&a=id"), F.col("page_id").cast("string"), F.lit("&&key=b%20c")))
+    return pages.select("url", m.alias("m")).select("url", F.col("m")["a"].alias("first"), F.col("m")["key"].alias("second"), F.size("m").alias("n"))
+
+
+@_query("SELECT item_id, lower(substr(hex(encode(text)), 1, 16)) || '…' AS preview FROM benchmark")
+def hex_previews(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", T.hex_preview(F.encode("text", "utf-8")).alias("preview"))
+
+
+@_query("SELECT conv_id, turn, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') AS escaped FROM conversations")
+def json_escaped(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", T.json_escape("text").alias("escaped"))
+
+
+@_query(f"{_CODED} SELECT vec_id, dim, code FROM c WHERE vec_id = 42")
+def get_codes(spark, sf_dir):
+    """The codes of one vector, as the file holds them."""
+    path, _ = _written(spark, sf_dir)
+    found = L.get(_read(spark, path)[0], 42)
+    return found.select("vec_id", F.posexplode("codes").alias("dim", "code")).select("vec_id", "dim", F.col("code").cast("int").alias("code"))
+
+
+@_query(f"{_CODED} SELECT CAST(pos AS INTEGER) AS pos, vec_id, dim, code FROM (SELECT p AS pos, c.* FROM (VALUES {_IDS}) AS w(p, i) JOIN c ON c.vec_id = i)")
+def get_batch_codes(spark, sf_dir):
+    path, _ = _written(spark, sf_dir)
+    found = L.get_batch(_read(spark, path)[0], IDS)
+    return found.select("pos", "vec_id", F.posexplode("codes").alias("dim", "code")).select("pos", "vec_id", "dim", F.col("code").cast("int").alias("code"))
+
+
+@_query(f"WITH {_E} SELECT vec_id, dim, round(CAST(v AS DOUBLE), 6) AS value FROM e WHERE vec_id IN ({', '.join(map(str, sorted(set(IDS))))})")
+def cached_reads(spark, sf_dir):
+    from lodestone.sources import datasets
+
+    df = _embeddings(spark, sf_dir)
+    reader = L.CachedReader(df, 2)
+    ids = sorted(set(IDS))
+    rows = dict(zip(ids, reader.get_batch(ids), strict=True))
+    made = datasets.from_rows(spark, list(rows.values())).withColumn("vec_id", F.element_at(F.array(*map(F.lit, ids)), (F.col("vec_id") + 1).cast("int")).cast("long"))
+    return _long(made, "embedding")
+
+
+@_query(f"SELECT vec_id, dim, round(CAST(v AS DOUBLE), 6) AS value FROM (SELECT vec_id, unnest(embedding) AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT {K}))")
+def first_vectors(spark, sf_dir):
+    from lodestone.sources import datasets
+
+    return _long(datasets.first_rows(_embeddings(spark, sf_dir), K), "embedding")
+
+
+_ONE_LINE = "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: printf('%.6f', CAST(x AS DOUBLE))), '{sep}') AS s FROM embeddings"
+
+
+@_query(_ONE_LINE.replace("{sep}", ",").replace("SELECT vec_id, ", "SELECT ").replace(" AS s", " AS line"))
+def export_csv_lines(spark, sf_dir):
+    from lodestone.sources import datasets
+
+    path = _file(spark, "csv")
+    datasets.export_csv(_embeddings(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@_query("SELECT '[' || s || ']' AS line FROM (" + _ONE_LINE.replace("{sep}", ", ") + ")")
+def export_json_lines(spark, sf_dir):
+    from lodestone.sources import datasets
+
+    path = _file(spark, "json")
+    datasets.export_json_lines(_embeddings(spark, sf_dir), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+#: Fixed values of the generators' recurrence in SQL: shifts of the 64-bit xorshift; states are unsigned.
+_STATES = "s(i, x) AS (SELECT 0, CAST({seed} AS UBIGINT) UNION ALL SELECT i + 1, xor(c, CAST((CAST(c AS UHUGEINT) * 131072) % 18446744073709551616 AS UBIGINT)) FROM (SELECT i, xor(b, b >> 7) AS c FROM (SELECT i, xor(x, CAST((CAST(x AS UHUGEINT) * 8192) % 18446744073709551616 AS UBIGINT)) AS b FROM s WHERE i < {n})))"
+
+
+@_query(f"WITH RECURSIVE {_STATES.format(seed=42, n=40)} SELECT CAST((i - 1) // 4 AS BIGINT) AS vec_id, CAST((i - 1) % 4 AS INTEGER) AS dim, round(CAST(CAST(-1 AS FLOAT) + CAST(CAST(x AS DOUBLE) / 18446744073709551615.0 AS FLOAT) * CAST(2 AS FLOAT) AS DOUBLE), 5) + 0.0 AS value FROM s WHERE i > 0")
+def uniform_vectors(spark, sf_dir):
+    """A generator: it reads no table."""
+    from lodestone.sources import datasets
+
+    return _long(datasets.synthetic_uniform(spark, 10, 4), "embedding", digits=5)
+
+
+def clustered_vectors(spark, sf_dir):
+    """A generator: it reads no table, and tests hold it against its definition."""
+    from lodestone.sources import datasets
+
+    return _long(datasets.synthetic_clustered(spark, 20, 8, 3, 0.1, 123), "embedding", digits=5)
+
+
+QUERIES["clustered_vectors"] = clustered_vectors
+
+
+@_query(
+    f"{_CODED}, t AS (SELECT count(DISTINCT vec_id) AS n, sum(({_ERR}) * ({_ERR})) / count(*) AS mse, sum(abs({_ERR})) / count(*) AS mae, CAST(max(abs(v - r)) AS DOUBLE) AS far, 10 * log10(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE)) / sum(({_ERR}) * ({_ERR}))) AS snr FROM d) "
+    "SELECT printf('dims=%d vectors=%d mse=%.6f mae=%.6f max=%.6f snr=%.2f dB ratio=%.2fx', 64, n, mse, mae, far, snr, CAST(4 AS DOUBLE)) AS summary FROM t"
+)
+def report_summary(spark, sf_dir):
+    df = _embeddings(spark, sf_dir)
+    return ST.summary(ST.evaluate(df, Q.calibrate(df)))
+
+
+#: Ranks lie within a share 1 / accuracy of the rows; the test holds them against exact ranks.
+def calibrate_percentile_approx(spark, sf_dir):
+    return _calibrated(Q.calibrate_percentile_approx(_embeddings(spark, sf_dir), 5, 95), spark)
+
+
+QUERIES["calibrate_percentile_approx"] = calibrate_percentile_approx
 
 
 # files: what is read back from a written file; rows only
@@ -450,13 +576,83 @@ def validate_report(spark, sf_dir):
     return r.select("dims", F.col("count").alias("n"), "checksum_valid", "row_ids_monotonic", "metadata_finite", "footer_size_ok", "is_valid")
 
 
-def _file(spark: SparkSession) -> str:
-    """A place that driver and tasks both open: the shared folder if it is a plain one, else a temporary one."""
+@_query(f"{_CODED} SELECT vec_id, dim, round(CAST(r AS DOUBLE), 6) AS value FROM d")
+def btcp_unverified(spark, sf_dir):
+    """Opened without the checksum, by a configuration."""
+    path, _ = _written(spark, sf_dir, C.FileConfig(64, metric=C.Metric.COSINE, align_blocks=True))
+    back, meta = _read(spark, path, verify=False)
+    return _long(meta.quantizer.dequantize(back), "decoded")
+
+
+@_query(f"{_CODED} SELECT vec_id, dim, code FROM c")
+def btcp_append_codes(spark, sf_dir):
+    """Rows that are coded already."""
+    from lodestone.sources import btcp
+
+    df, q = _coded(_embeddings(spark, sf_dir))
+    path = _file(spark)
+    btcp.write(df.select("vec_id", "codes"), path, q, codes="codes")
+    back, _ = btcp.read(spark, path)
+    return back.select("vec_id", F.posexplode("codes").alias("dim", "code")).select("vec_id", "dim", F.col("code").cast("int").alias("code"))
+
+
+@_query("SELECT CAST(1 AS INTEGER) AS major, CAST(2 AS INTEGER) AS minor, CAST(64 AS INTEGER) AS dims, CAST(1 AS INTEGER) AS metric, count(*) AS n, CAST(ceil((32 + 8 * 64 + count(*) * 64) / 4096.0) * 4096 AS BIGINT) AS footer_offset, true AS quick FROM embeddings")
+def btcp_header(spark, sf_dir):
+    from lodestone.sources import btcp
+
+    path, _ = _written(spark, sf_dir, C.FileConfig(64, minor=2, metric=C.Metric.COSINE, align_blocks=True))
+    h = btcp.read_header(path)
+    return spark.createDataFrame([(h.major, h.minor, h.dims, int(h.metric), h.vector_count, h.footer_offset, btcp.quick_check(path))], "major int, minor int, dims int, metric int, n long, footer_offset long, quick boolean")
+
+
+@_query("SELECT count(*) AS n, false AS checksum_valid, false AS is_valid, true AS refused FROM embeddings")
+def btcp_damaged(spark, sf_dir):
+    """One byte of the codes is flipped."""
+    from lodestone.errors import LodestoneError
+    from lodestone.sources import btcp
+
+    path, _ = _written(spark, sf_dir)
+    with open(path, "r+b") as f:
+        f.seek(32 + 8 * 64)
+        byte = f.read(1)[0]
+        f.seek(32 + 8 * 64)
+        f.write(bytes([byte ^ 1]))
+    try:
+        btcp.open_file(path)
+        refused = False
+    except LodestoneError:
+        refused = True
+    return btcp.validate_many(spark, path).select(F.col("count").alias("n"), "checksum_valid", "is_valid", F.lit(refused).alias("refused"))
+
+
+def _written(spark: SparkSession, sf_dir: str, config: C.FileConfig | None = None) -> tuple[str, Q.Quantizer]:
+    from lodestone.sources import btcp
+
+    df, path = _embeddings(spark, sf_dir), _file(spark)
+    q = Q.calibrate(df)
+    btcp.write(df, path, q, **(config or C.FileConfig(64)).writer_options())
+    return path, q
+
+
+def _read(spark: SparkSession, path: str, verify: bool = True):
+    from lodestone.sources import btcp
+
+    return btcp.read(spark, path, verify)
+
+
+def _file(spark: SparkSession, kind: str = "btcp") -> str:
+    """A place in the shared folder, which must be a plain one, as the format is read with seeks; without one, a temporary folder if
+    the driver is the only executor."""
     import os
+    import re
     import tempfile
     import uuid
 
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or ""
-    where = shared.removeprefix("file://") if shared.startswith(("/", "file://")) else tempfile.gettempdir()
+    if not shared and re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        shared = tempfile.gettempdir()
+    if not shared.startswith(("/", "file:/")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors open as files")
+    where = re.sub("^file:/+", "/", shared)
     os.makedirs(where, exist_ok=True)
-    return f"{where}/lodestone-{uuid.uuid4().hex}.btcp"
+    return f"{where}/lodestone-{uuid.uuid4().hex}.{kind}"

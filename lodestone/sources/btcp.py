@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from lodestone.config import Metric, QuantType, check_dims
 from lodestone.errors import ChecksumMismatch, CorruptedFooter, InvalidHeader, InvalidMagic
@@ -235,7 +235,7 @@ class _Part(WriterCommitMessage):
     count: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, options: dict[str, str]):
         self.path = _local(path)
         low, high = ([float(x) for x in options[k].split(",")] for k in ("low", "high"))
@@ -245,16 +245,20 @@ class _Writer(DataSourceWriter):
         self.pad = str(options.get("pad", "false")).lower() == "true"
         self.stem = f"{self.path}.{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> _Part:
-        path, first, last, count = f"{self.stem}.{uuid.uuid4().hex}.part", -1, -1, 0
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Part:
+        path, first, last, count, dims = f"{self.stem}.{uuid.uuid4().hex}.part", -1, -1, 0, self.quantizer.dims
         with open(path, "wb") as f:
-            for r in rows:
-                if len(r["codes"]) != self.quantizer.dims:
-                    raise InvalidHeader(f"dimension mismatch: expected {self.quantizer.dims}, found {len(r['codes'])}")
-                if r["vec_id"] <= last:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids, codes = b.column("vec_id").to_numpy(), b.column("codes")
+                lengths = codes.value_lengths().to_numpy(zero_copy_only=False)
+                if (lengths != dims).any():
+                    raise InvalidHeader(f"dimension mismatch: expected {dims}, found {lengths[lengths != dims][0]}")
+                if ids[0] <= last or (ids[1:] <= ids[:-1]).any():
                     raise InvalidHeader("rows must ascend by vec_id")
-                first, last, count = first if count else r["vec_id"], r["vec_id"], count + 1
-                f.write(np.asarray(r["codes"], np.uint8).tobytes())
+                first, last, count = first if count else int(ids[0]), int(ids[-1]), count + b.num_rows
+                f.write(codes.flatten().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
         return _Part(path, first, count)
 
     def commit(self, messages: list[_Part | None]) -> None:

@@ -21,7 +21,8 @@ def test_equals_sql(spark, name):
     from lodestone import queries
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{DATA}/embeddings.parquet')")
+    for table in ("embeddings", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.execute(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)

@@ -24,12 +24,33 @@ def one(spark, column):
 v = V.vector
 
 
+def _numpy_round_trip(x, low, high):
+    x, low, high = (np.asarray(y, np.float32) for y in (x, low, high))
+    code = np.floor(np.clip((x - low) / (high - low), np.float32(0), np.float32(1)) * np.float32(255))
+    return code.astype(int).tolist(), (low + code / np.float32(255) * (high - low)).astype(np.float32).tolist()
+
+
 def test_known_codes(spark):
-    q = Q.Quantizer((0.0, -1.0), (1.0, 1.0))
-    df = q.dequantize(q.quantize(rows(spark, [[0.5, 0.0], [2.0, -5.0]])))
-    a, b = df.orderBy("vec_id").collect()
-    assert a["codes"] == [127, 127] and b["codes"] == [255, 0]
-    assert a["decoded"] == pytest.approx([0.498, -0.0039], abs=0.01)
+    q, x = Q.Quantizer((-3.0, 10.0, 0.25), (5.0, 11.5, 0.75)), [[-1.7, 10.9, 0.3], [7.0, 9.0, 0.74], [5.0, 10.0, 0.25]]
+    codes, values = _numpy_round_trip(x, q.low, q.high)
+    got = q.dequantize(q.quantize(rows(spark, x))).orderBy("vec_id").collect()
+    assert [r["codes"] for r in got] == codes and [r["decoded"] for r in got] == values
+    assert codes[1][:2] == [255, 0] and codes[2] == [255, 0, 0]
+
+
+def test_passes_equal_expressions(spark):
+    x = np.random.default_rng(4).normal(size=(100, 5)).astype(np.float32)
+    x[:, 2] = np.float32(1.5)  # a degenerate range
+    df = rows(spark, x)
+    q = Q.Quantizer((-1.0, -2.0, 1.0, -0.5, 0.0), (1.0, 2.0, 1.0, 0.5, 3.0))
+    for kind in ("sided", "zero"):
+        both = q.quantize(df, degenerate=kind).withColumn("e", q.codes("embedding", kind))
+        assert both.filter("codes <> e").count() == 0
+    both = q.decoded(df).withColumn("e", q.round_trip("embedding"))
+    assert both.filter("decoded <> e").count() == 0 and both.columns == ["vec_id", "embedding", "decoded", "e"]
+    null = spark.createDataFrame([(0, None, "a"), (1, [0.0] * 5, "b")], "vec_id long, embedding array<float>, codes string")
+    got = {r["vec_id"]: r["codes"] for r in q.quantize(null).collect()}  # a column of that name is replaced
+    assert got[0] is None and len(got[1]) == 5
 
 
 @pytest.mark.parametrize(("x", "sided", "zero"), [(5.0, 0, 0), (6.0, 255, 0), (4.0, 0, 0), (5.0000005, 0, 0)])
@@ -51,9 +72,10 @@ def test_codes_equal_numpy(spark):
 
 
 def test_calibration_variants(spark):
-    df = rows(spark, [[0, 10], [1, 20], [-1, 15]])
-    assert Q.calibrate(df) == Q.Quantizer((-1.0, 10.0), (1.0, 20.0))
-    assert Q.calibrate_global(df) == Q.Quantizer((-1.0, -1.0), (20.0, 20.0))
+    x = np.asarray([[4, -7.5], [2.5, 30], [-6, 0.125], [-0.0, 8]], np.float32)
+    df = rows(spark, x)
+    assert Q.calibrate(df) == Q.Quantizer(tuple(x.min(0).tolist()), tuple(x.max(0).tolist()))
+    assert Q.calibrate_global(df) == Q.Quantizer((-7.5, -7.5), (30.0, 30.0))
     line = rows(spark, [[i, 2 * i] for i in range(101)])
     assert Q.calibrate_percentile(line, 5, 95) == Q.Quantizer((5.0, 10.0), (95.0, 190.0))
     flat = rows(spark, [[1.0]] * 98 + [[0.0], [2.0]])
@@ -62,6 +84,29 @@ def test_calibration_variants(spark):
     assert abs(approx.low[0] - 5) <= 1 and abs(approx.high[0] - 95) <= 1
 
 
+@pytest.mark.parametrize(("low", "high"), [(5, 95), (0, 100), (50, 50.5), (33.3, 66.6)])
+def test_percentiles_equal_sorting(spark, low, high):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(300, 3)), rng.integers(-3, 3, (200, 3)), rng.normal(size=(37, 3)) * 1e-6, rng.normal(size=(40, 3)) * 1e30]).astype(np.float32)
+    got, ordered = Q.calibrate_percentile(rows(spark, x).repartition(5), low, high), np.sort(x, axis=0)
+    a, b = Q.percentile_ranks(len(x), low, high)
+    near = np.abs(ordered[b] - ordered[a]) < np.float32(Q.NEAR)
+    assert got == Q.Quantizer(tuple(np.where(near, ordered[0], ordered[a]).tolist()), tuple(np.where(near, ordered[-1], ordered[b]).tolist()))
+
+
+def test_clusters_follow_their_definition():
+    x = datasets.clustered_rows(20, 8, 3, 0.1, 123)
+    centers = datasets.uniform_rows(3, 8, -1.0, 1.0, 123)
+    assert x.shape == (20, 8) and np.abs(x - centers[np.arange(20) % 3]).max() <= np.float32(0.1) + 1e-6
+    state, noise = (123 * 0x9E3779B97F4A7C15) % 2**64, []
+    for _ in range(160):
+        state ^= (state << 13) % 2**64
+        state ^= state >> 7
+        state ^= (state << 17) % 2**64
+        noise.append((state % 2000) / 1000 - 1)
+    assert np.allclose(x - centers[np.arange(20) % 3], 0.1 * np.asarray(noise).reshape(20, 8), atol=1e-6)
+
+
 def test_calibration_errors(spark):
     with pytest.raises(errors.EmptyDataset):
         Q.calibrate(spark.createDataFrame([], "vec_id long, embedding array<float>"))
@@ -80,13 +125,6 @@ def test_calibration_errors(spark):
             bad()
 
 
-def test_wide_bounds_come_as_a_row(spark, monkeypatch):
-    monkeypatch.setattr(Q, "LITERAL_DIMS", 1)
-    df = rows(spark, [[0, 1], [1, 0], [0.5, 0.5]])
-    q = Q.calibrate(df)
-    assert q.dequantize(q.quantize(df)).columns == ["vec_id", "embedding", "codes", "decoded"]
-
-
 def test_distances(spark):
     assert one(spark, V.l2_squared(v([0, 0]), v([3, 4]))) == 25 and one(spark, V.l2(v([0, 0]), v([3, 4]))) == 5
     assert one(spark, V.dot(v([1, 2, 3]), v([4, 5, 6]))) == 32
@@ -200,6 +238,10 @@ def test_postings(spark):
     coded = Q.calibrate(df).quantize(df)
     p = {(r["dim"], r["code"]): r["ids"] for r in index.postings(index.build(coded)).collect()}
     assert p[0, 0] == [0] and p[1, 127] == [2]
+    long = spark.createDataFrame([(i, [i % 2]) for i in range(10)], "vec_id long, codes array<short>")
+    p = {(r["code"], r["block"]): r["ids"] for r in index.postings(index.build(long), 4).collect()}
+    assert p[0, 0] == [0, 2] and p[1, 1] == [5, 7] and p[0, 2] == [8] and max(map(len, p.values())) == 2
+    assert {r["code"]: (r["n"], r["first_id"], r["last_id"]) for r in index.counts(index.build(long)).collect()} == {0: (5, 0, 8), 1: (5, 1, 9)}
     assert [r["vec_id"] for r in index.lookup(coded, 0, 255).collect()] == [1] and index.lookup(coded, 9, 0).count() == 0
     assert index.stats(index.build(coded)).first().asDict() == {"dims": 2, "total": 6, "avg_per_dim": 3.0}
 
@@ -210,6 +252,7 @@ def test_text(spark):
         one(spark, T.parse_vector(F.lit("1,x")))
     assert one(spark, T.format_vector(v([1, 2, 3]), 2)) == "1.0000, 2.0000"
     assert one(spark, T.url_query(F.lit("a=1&b=x%20y+z&a=2&c"))) == {"a": "2", "b": "x y z", "c": ""}
+    assert one(spark, T.json_escape(F.lit('a"b\\c\n'))) == 'a\\"b\\\\c\\n'
     assert one(spark, T.hex_preview(F.unhex(F.lit("00ff" * 8)))) == "00ff00ff00ff00ff…"
 
 
