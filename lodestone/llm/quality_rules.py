@@ -1,19 +1,28 @@
-"""Quality rules with risk-controlled cutoffs.
+"""Quality rules with risk-controlled cutoffs, tested jointly.
 
 Every rule is a measure of a document that is worse the larger it is, with a fixed ladder of cutoffs from loose to strict.
-For each stratum (language) and rule, the labelled good documents are a holdout: walking the ladder from its loose end,
-a cutoff is taken as long as the exact binomial test rejects "this cutoff rejects more than ``risk / rules`` of the good
-documents" at level ``error / (strata * rules)`` (fixed-sequence testing within a ladder, Bonferroni across ladders).
-So with probability 1 - ``error`` no stratum loses more than ``risk`` of its good documents to the learned cutoffs.
-A stratum with too few labelled documents gets no cutoff, and keeps what the base rules keep.
+The labelled documents that pass the base rule fall into two halves by a hash of the id.
+
+1. Path. On the first half, over all strata, the rules' ladders are merged into one sequence of steps, each of which makes one
+   rule stricter: next comes the run of steps of a rule that has the fewest good documents for each bad one among those that it
+   adds to the rejected. A run that adds no more bad than good documents is left out, with all stricter ones of its rule.
+2. Test. On the second half, for each stratum (language), the path is walked from its loose end. A step is taken as long as the
+   exact binomial test, at level ``error / strata``, rejects "the steps so far together reject more than ``risk`` of the good
+   documents". The tests of a stratum are in a fixed order, so they need no further correction; strata are corrected by Bonferroni.
+
+So with probability 1 - ``error`` no stratum loses more than ``risk`` of its good documents to the learned cutoffs, whichever rule
+rejects them. At the defaults, a stratum of s needs log(error / s) / log(1 - risk) good documents in the second half, 144 for
+four strata; one with fewer gets no cutoff, and keeps what the base rules keep.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null language is a stratum of its own;
-rows with the same id count each for themselves; a label of a repeated id is the largest; without labels there are no cutoffs.
+rows with the same id count each for themselves; a label of a repeated id is the largest, and a null one is none; without labels
+there are no cutoffs; of steps that are equally good the earlier rule's comes first; a document on a cutoff is not rejected by it.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -128,36 +137,61 @@ def _beta(a: float, b: float, x: float) -> float:
     return min(1.0, front * f)
 
 
-def select_cutoffs(counts: dict[str, tuple[int, dict[str, list[int]]]], risk: float = 0.03, error: float = 0.05) -> dict[str, dict[str, float]]:
-    """Stratum: rule: cutoff, from (good documents, rule: how many of them each cutoff of the ladder rejects)."""
-    level = error / max(1, len(counts) * len(LADDERS))
-    chosen: dict[str, dict[str, float]] = {}
-    for stratum, (n, by_rule) in counts.items():
-        chosen[stratum] = {}
-        for rule, rejected in by_rule.items():
-            cut = math.inf
-            for cutoff, k in zip(LADDERS[rule][1], rejected, strict=True):
-                if not n or binomial_at_most(k, n, risk / len(LADDERS)) > level:
-                    break
-                cut = cutoff
-            chosen[stratum][rule] = cut
-    return chosen
+def learned_path(counts: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int]]:
+    """The steps (rule, number of its cutoff), from rule: for each cutoff, how many good and bad documents it rejects."""
+    at, path = dict.fromkeys(counts, 0), []
+    while True:
+        best: tuple[Fraction, int, str] | None = None
+        for rule, rejected in counts.items():
+            good, bad = rejected[at[rule] - 1] if at[rule] else (0, 0)
+            for i in range(at[rule], len(rejected)):
+                g, b = rejected[i][0] - good, rejected[i][1] - bad
+                if b > g and (best is None or Fraction(g + 1, b + 1) < best[0]):
+                    best = Fraction(g + 1, b + 1), i, rule
+        if best is None:
+            return path
+        _, to, rule = best
+        path += [(rule, i) for i in range(at[rule], to + 1)]
+        at[rule] = to + 1
+
+
+def steps_taken(n: int, rejected: list[int], risk: float, level: float) -> int:
+    """How many steps are taken, where the first t + 1 together reject rejected[t] of n good documents."""
+    for t, k in enumerate(rejected):
+        if not n or binomial_at_most(k, n, risk) > level:
+            return t
+    return len(rejected)
+
+
+def _first_step(path: list[tuple[str, int]]) -> Column:
+    """The number of the first step of the path that rejects a document; null if none does."""
+    rejects = [F.expr(LADDERS[rule][0]) > LADDERS[rule][1][i] for rule, i in path]
+    return F.coalesce(F.lit(None).cast("int"), *[F.when(c, t) for t, c in enumerate(rejects)])
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.03, error: float = 0.05, tables: C.Tables | None = None) -> DataFrame:
     """The measures of every document with ``base_failed``, ``kept`` and ``failed_rule`` (null if kept or base_failed).
 
-    Only one row of counts for each language reaches the driver."""
+    One row of counts, and for each language and step a count, reach the driver."""
     tables = tables or C.Tables(docs.sparkSession)
     found = tables.keep(measures(docs).withColumn("base_failed", base_failed()), "measures").withColumn("stratum", F.coalesce("lang", F.lit("")))
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality")).filter("quality = 1").select("doc_id")
-    holdout = found.filter("not base_failed").join(good, "doc_id")
-    tests = [(rule, i, F.count_if(F.expr(expr) > cut)) for rule, (expr, cuts) in LADDERS.items() for i, cut in enumerate(cuts)]
-    rows = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *[c.alias(f"{rule}_{i}") for rule, i, c in tests]).collect()
-    counts = {r["stratum"]: (r["n"], {rule: [r[f"{rule}_{i}"] for i in range(len(cuts))] for rule, (_, cuts) in LADDERS.items()}) for r in rows}
-    chosen = select_cutoffs(counts, risk, error)
-    cut_schema = "stratum string, " + ", ".join(f"cut_{rule} double" for rule in LADDERS)
-    cuts = docs.sparkSession.createDataFrame([(s, *(c[r] for r in LADDERS)) for s, c in chosen.items()], cut_schema)
-    failed = F.coalesce(*[F.when(F.expr(expr) > F.col(f"cut_{rule}"), F.lit(rule)) for rule, (expr, _) in LADDERS.items()])
-    out = found.join(F.broadcast(cuts), "stratum", "left").withColumn("failed_rule", F.when(~F.col("base_failed"), failed))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("stratum", *[f"cut_{r}" for r in LADDERS])
+    marked = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality")).filter("quality is not null")
+    known = found.filter("not base_failed").join(marked, "doc_id")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    tests = [(rule, i, F.expr(expr) > cut) for rule, (expr, cuts) in LADDERS.items() for i, cut in enumerate(cuts)]
+    both = [F.count_if(c & (F.col("quality") == 1 if good else F.col("quality") != 1)).alias(f"{rule}_{i}_{good}") for rule, i, c in tests for good in (0, 1)]
+    seen = known.filter(half == 0).agg(*both).first()
+    path = learned_path({rule: [(seen[f"{rule}_{i}_1"], seen[f"{rule}_{i}_0"]) for i in range(len(cuts))] for rule, (_, cuts) in LADDERS.items()})
+    step = _first_step(path)
+    counts: dict[str, dict[int | None, int]] = {}
+    for r in known.filter((half == 1) & (F.col("quality") == 1)).groupBy("stratum", step.alias("step")).count().collect():
+        counts.setdefault(r["stratum"], {})[r["step"]] = r["count"]
+    taken = {}
+    for stratum, by_step in counts.items():
+        rejected = [int(k) for k in np.cumsum([by_step.get(t, 0) for t in range(len(path))])]
+        taken[stratum] = steps_taken(sum(by_step.values()), rejected, risk, error / len(counts))
+    allowed = docs.sparkSession.createDataFrame(list(taken.items()), "stratum string, taken int")
+    names = F.array(*[F.lit(rule) for rule, _ in path]) if path else F.array().cast("array<string>")
+    out = found.join(F.broadcast(allowed), "stratum", "left").withColumn("step", step)
+    out = out.withColumn("failed_rule", F.when(~F.col("base_failed") & (F.col("step") < F.col("taken")), F.get(names, F.col("step"))))
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("stratum", "step", "taken")

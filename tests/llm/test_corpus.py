@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import os
 import random
 import re
@@ -369,18 +370,69 @@ def test_binomial():
 
 
 def test_cutoffs_limit_false_rejections():
-    n = len(quality_rules.LADDERS["symbols"][1])
-    few = quality_rules.select_cutoffs({"en": (50, {"symbols": [0] * n})})["en"]["symbols"]
-    many = quality_rules.select_cutoffs({"en": (5000, {"symbols": [0] * 5 + [400] * (n - 5)})})["en"]["symbols"]
-    assert few == float("inf") and many == quality_rules.LADDERS["symbols"][1][4]
-    rng = np.random.default_rng(0)
-    cuts, bad = quality_rules.LADDERS["symbols"][1], 0
-    for _ in range(200):  # true rates of false rejection rise along the ladder
-        rates = np.linspace(0, 0.05, n)
-        counts = [int(rng.binomial(3000, p)) for p in rates]
-        cut = quality_rules.select_cutoffs({"en": (3000, {"symbols": counts})}, risk=0.06)["en"]["symbols"]
-        bad += cut != float("inf") and rates[cuts.index(cut)] > 0.01
-    assert bad <= 10
+    """The rules' steps together, not each by itself, keep to the risk; a stratum needs 144 good documents where there are four."""
+    risk, level = 0.03, 0.05 / 4
+    assert quality_rules.steps_taken(0, [0, 0], risk, level) == 0
+    assert quality_rules.steps_taken(143, [0, 0], risk, level) == 0 and quality_rules.steps_taken(144, [0, 0], risk, level) == 2
+    assert quality_rules.steps_taken(5000, [0, 20, 400, 400], risk, level) == 2
+    rng, bad = np.random.default_rng(0), 0
+    rates = np.linspace(0, 0.09, 14)  # true rates of false rejection by all steps so far
+    for _ in range(400):
+        first = np.searchsorted(rates, rng.random(3000))  # a document's first step that rejects it
+        taken = quality_rules.steps_taken(3000, [int((first <= t).sum()) for t in range(14)], risk, 0.05)
+        assert taken >= 2
+        bad += rates[taken - 1] > risk
+    assert bad <= 30
+
+
+def test_path_takes_the_best_steps_first():
+    counts = {"x": [(0, 0), (2, 40), (90, 41)], "y": [(1, 9), (1, 9), (1, 30)], "z": [(5, 5), (5, 5)]}
+    # x up to its second cutoff, 3 / 41, is worse than y up to its last, 2 / 31; the rest adds no more bad than good documents
+    assert quality_rules.learned_path(counts) == [("y", 0), ("y", 1), ("y", 2), ("x", 0), ("x", 1)]
+    assert quality_rules.learned_path({"x": [(0, 4)], "y": [(0, 4)]}) == [("x", 0), ("y", 0)]
+    assert quality_rules.learned_path({"x": [(0, 0), (3, 0)]}) == []
+
+
+def test_verdict_by_brute_force(spark):
+    """Cutoffs and verdicts recomputed in plain Python over the measures, for two languages with enough labels and one without."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):
+        good = rng.random() < 0.7
+        body = prose(rng, rng.randint(12, 40))
+        if not good:
+            body += rng.choice([" ##$ %%", " !!! ??", " AAAA BBBB CCCC"]) * rng.randint(1, 12)
+        elif rng.random() < 0.01:
+            body += " #" * 30
+        lang = ["en", None, "fr"][0 if i % 2 else 1 if i % 20 else 2]
+        rows.append((i, body, lang, "s", len(body), int(good) if rng.random() < 0.95 else None))
+    docs = spark.createDataFrame([r[:5] for r in rows], SCHEMA)
+    given = spark.createDataFrame([(r[0], r[5]) for r in rows], "doc_id long, quality int")
+    got = quality_rules.judge(docs, given).withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()
+    assert len(got) == len(rows)
+    ladders = {rule: (expr.replace("greatest", "max"), cuts) for rule, (expr, cuts) in quality_rules.LADDERS.items()}
+    value = {r["doc_id"]: {rule: eval(expr, {"max": max}, r.asDict()) for rule, (expr, _) in ladders.items()} for r in got}
+    known = [(r["doc_id"], r["half"], r["lang"], rows[r["doc_id"]][5]) for r in got if not r["base_failed"] and rows[r["doc_id"]][5] is not None]
+    count = lambda rule, cut, y: sum(h == 0 and q == y and value[i][rule] > cut for i, h, _, q in known)
+    path = quality_rules.learned_path({rule: [(count(rule, c, 1), count(rule, c, 0)) for c in cuts] for rule, (_, cuts) in ladders.items()})
+    assert len({rule for rule, _ in path}) >= 2
+    first = {i: next((t for t, (rule, k) in enumerate(path) if v[rule] > ladders[rule][1][k]), None) for i, v in value.items()}
+    taken = {}
+    for lang in ("en", None, "fr"):
+        good = [first[i] for i, h, x, q in known if h == 1 and x == lang and q == 1]
+        n, t = len(good), 0
+        while t < len(path):
+            k = sum(f is not None and f <= t for f in good)
+            if sum(math.comb(n, j) * 0.03**j * 0.97 ** (n - j) for j in range(k + 1)) > 0.05 / 3:
+                break
+            t += 1
+        taken[lang] = t
+    assert taken["fr"] == 0 < min(taken["en"], taken[None])
+    for r in got:
+        t = first[r["doc_id"]]
+        fails = not r["base_failed"] and t is not None and t < taken[r["lang"]]
+        assert r["failed_rule"] == (path[t][0] if fails else None) and r["kept"] == (not r["base_failed"] and not fails)
+    assert sum(not r["kept"] and rows[r["doc_id"]][5] == 0 for r in got) > 150
 
 
 # 8
