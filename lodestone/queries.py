@@ -625,6 +625,21 @@ def btcp_damaged(spark, sf_dir):
     return btcp.validate_many(spark, path).select(F.col("count").alias("n"), "checksum_valid", "is_valid", F.lit(refused).alias("refused"))
 
 
+@_query("SELECT CAST(1 AS INTEGER) AS waiting, count(*) + 3 AS n, (count(*) + 3) * 64 AS data_bytes, true AS size_foretold, true AS is_valid FROM embeddings")
+def btcp_grown(spark, sf_dir):
+    """A table and three single vectors, of which two are staged at once."""
+    from lodestone.sources import btcp, builder
+
+    df, path = _embeddings(spark, sf_dir), _file(spark)
+    b = builder.FileBuilder(spark, path, Q.calibrate(df), C.FileConfig(64, align_blocks=True), threshold=2)
+    b.append(df)
+    for x in (-1.0, 0.0, 1.0):
+        b.push([x] * 64)
+    waiting, foretold = len(b.waiting), b.estimated_size
+    size = b.finish().file_size
+    return btcp.validate_many(spark, path).select(F.lit(waiting).alias("waiting"), F.col("count").alias("n"), F.lit(b.data_bytes).cast("long").alias("data_bytes"), F.lit(size == foretold).alias("size_foretold"), "is_valid")
+
+
 def _written(spark: SparkSession, sf_dir: str, config: C.FileConfig | None = None) -> tuple[str, Q.Quantizer]:
     from lodestone.sources import btcp
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone import cli, errors
 from lodestone.config import Metric, QuantType
 from lodestone.operators import quantizer as Q
-from lodestone.sources import btcp, datasets
+from lodestone.sources import btcp, builder, datasets
 from lodestone.streaming import quantize as SQ
 
 
@@ -51,6 +51,29 @@ def test_padding_and_coded_rows(spark, tmp_path):
     assert meta_values(spark, path) == [[1, 2]] * 5
 
 
+def test_file_that_grows(spark, table, tmp_path):
+    path, q = str(tmp_path / "g.btcp"), Q.calibrate(table)
+    b = builder.FileBuilder(spark, path, q, threshold=2)
+    assert len(b) == 0 and b.dims == 3 and builder.FileBuilder(spark, path, q).finish().header.vector_count == 0
+    b.push([1, 1, 5])
+    b.append(table.filter("vec_id <> 1"))
+    for v in ([2, 2, 6], [0, 4, 2], [3, 1, 9]):
+        b.push(v)
+    assert len(b) == 6 and len(b.waiting) == 1 and not b.should_flush() and b.data_bytes == 18
+    b.append(table.limit(0))
+    with pytest.raises(errors.DimensionMismatch):
+        b.push([1, 2])
+    with pytest.raises(Exception, match="not negative"):
+        b.append(table.select((F.col("vec_id") - 1).alias("vec_id"), "embedding"))
+    meta = b.finish()
+    assert meta.file_size == b.estimated_size and os.listdir(tmp_path) == ["g.btcp"] and btcp.validate(path)["is_valid"]
+    want = [[1, 1, 5], [0, 1, 2], [-1, 0.5, 10], [2, 2, 6], [0, 4, 2], [3, 1, 9]]
+    for got, expected in zip(meta_values(spark, path), want, strict=True):
+        assert got == pytest.approx(expected, abs=0.05)
+    with pytest.raises(ValueError):
+        b.append(table)
+
+
 def meta_values(spark, path):
     back, meta = btcp.read(spark, path)
     return [r["decoded"] for r in meta.quantizer.dequantize(back).orderBy("vec_id").collect()]
