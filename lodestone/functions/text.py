@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +24,25 @@ def parse_vectors(s: Column | str) -> Column:
     return F.from_json(_col(s), "array<array<float>>")
 
 
+def fixed(v: Column | str, digits: int, between: str) -> Column:
+    """An array's numbers with so many decimals, rounded from their exact binary value, ties to even, as in C and SQL's printf.
+    Java's formatter, hence ``format_string``, takes ties up and pads numbers of over 17 digits with zeros. Null numbers are left out."""
+
+    def lines(arrays: pa.Array) -> pa.Array:
+        flat, ends, formats, out = arrays.values, arrays.offsets.to_pylist(), {}, []
+        whole = None if flat.null_count else flat.to_numpy()
+        for valid, a, b in zip(arrays.is_valid().to_pylist(), ends, ends[1:], strict=False):
+            row = () if not valid else [x for x in flat[a:b].to_pylist() if x is not None] if whole is None else whole[a:b].tolist()
+            if (how := formats.get(len(row))) is None:
+                how = formats[len(row)] = between.join([f"%.{digits}f"] * len(row))
+            out.append(how % tuple(row) if valid else None)
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(lines, "string")(_col(v).cast("array<double>"))
+
+
 def format_vector(v: Column | str, most: int) -> Column:
-    return F.array_join(F.transform(F.slice(_col(v), 1, max(most, 1)) if most else F.array().cast("array<float>"), lambda x: F.format_string("%.4f", x)), ", ")
+    return fixed(F.slice(_col(v), 1, max(most, 1)) if most else F.array().cast("array<float>"), 4, ", ")
 
 
 def hex_preview(b: Column | str) -> Column:

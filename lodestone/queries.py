@@ -430,13 +430,13 @@ def parse_json_vectors(spark, sf_dir):
 
 @_query(f"WITH {_E} SELECT vec_id, dim, round(CAST(CAST(printf('%.6f', CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS value FROM e")
 def parse_text_vectors(spark, sf_dir):
-    line = F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), ", ")
+    line = T.fixed("embedding", 6, ", ")
     return _long(_embeddings(spark, sf_dir).select("vec_id", T.parse_vector(line).alias("v")), "v")
 
 
 @_query(f"WITH {_E} SELECT vec_id, dim, round(CAST(CAST(printf('%.6f', CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 6) AS value FROM e")
 def parse_json_rows(spark, sf_dir):
-    line = F.concat(F.lit("[["), F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x.cast("double"))), ", "), F.lit("]]"))
+    line = F.concat(F.lit("[["), T.fixed("embedding", 6, ", "), F.lit("]]"))
     return _long(_embeddings(spark, sf_dir).select("vec_id", F.get(T.parse_vectors(line), F.lit(0)).alias("v")), "v")
 
 

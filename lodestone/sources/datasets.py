@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.errors import CorruptedData, DimensionMismatch, EmptyDataset
-from lodestone.functions.text import parse_vectors
+from lodestone.functions.text import fixed, parse_vectors
 
 _MASK = (1 << 64) - 1
 #: Fixed values of the generators: shifts of the 64-bit xorshift, the seed's multiplier for noise, its steps.
@@ -91,13 +91,13 @@ def export_csv(df: DataFrame, path: str, column: str = "embedding") -> None:
 
 def export_json_lines(df: DataFrame, path: str, column: str = "embedding") -> None:
     """An array on each line, by id: splittable, for large tables."""
-    line = F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: F.format_string("%.6f", x)), ", "), F.lit("]"))
+    line = F.concat(F.lit("["), fixed(column, 6, ", "), F.lit("]"))
     df.orderBy("vec_id").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def export_json(df: DataFrame, path: str, column: str = "embedding") -> None:
     """One file with an array of arrays, streamed through the driver a partition at a time."""
-    line = F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: F.format_string("%.6f", x)), ", "), F.lit("]"))
+    line = F.concat(F.lit("["), fixed(column, 6, ", "), F.lit("]"))
     with open(path, "w") as out:
         out.write("[\n")
         for i, row in enumerate(df.orderBy("vec_id").select(line.alias("s")).toLocalIterator()):

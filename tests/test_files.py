@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone import cli, errors
 from lodestone.config import Metric, QuantType
+from lodestone.functions import text as T
 from lodestone.operators import quantizer as Q
 from lodestone.sources import btcp, builder, datasets
 from lodestone.streaming import quantize as SQ
@@ -144,3 +145,20 @@ def test_drift(spark, table):
     q = Q.Quantizer((0.0,) * 3, (4.0,) * 3)
     out = SQ.drift(table.withColumn("ts", F.timestamp_seconds(F.col("vec_id") * 600)), q, "ts").orderBy("window").collect()
     assert [round(r["share_outside"], 3) for r in out] == [0.0, 0.333, 0.667]
+
+
+def test_exports_round_ties_to_even(spark, tmp_path):
+    """Against SQL: ties are m / 128, which a formatter that takes them up writes one higher; large numbers have all their digits."""
+    import duckdb
+
+    rows = [[m / 128, -m / 128, 1e-9] for m in range(1, 64, 2)] + [[float("inf"), float("-inf"), float("nan")], [3e38, 16777216.0, -1e-9]]
+    df = spark.createDataFrame([*enumerate(rows), (99, [0.5, None, 1.5])], "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "t"))
+    sql = "SELECT array_to_string(list_transform(embedding, lambda x: printf('%.{}f', CAST(x AS DOUBLE))), ', ') AS s FROM read_parquet('{}/t/*.parquet') ORDER BY vec_id"
+    want = [r[0] for r in duckdb.connect().execute(sql.format(6, tmp_path)).fetchall()]
+    datasets.export_json_lines(df, str(tmp_path / "lines"))
+    datasets.export_json(df, str(tmp_path / "a.json"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == sorted(f"[{s}]" for s in want)
+    assert [x.strip().rstrip(",") for x in open(tmp_path / "a.json").read().splitlines()[1:-1]] == [f"[{s}]" for s in want]
+    four = spark.createDataFrame([(0, [1 / 32, 3 / 32, 5 / 32])], "vec_id long, embedding array<float>").select(T.format_vector("embedding", 3).alias("s"))
+    assert four.first()["s"] == "0.0312, 0.0938, 0.1562"
