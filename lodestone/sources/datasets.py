@@ -85,7 +85,7 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str, column: str = "embedding") -> None:
     """Rows by id without header or ids, six decimals; part files in order."""
-    line = F.array_join(F.transform(column, lambda x: F.format_string("%.6f", x)), ",")
+    line = fixed(column, 6, ",")
     df.orderBy("vec_id").select(line.alias("value")).write.mode("overwrite").text(path)
 
 

@@ -156,8 +156,10 @@ def test_exports_round_ties_to_even(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t"))
     sql = "SELECT array_to_string(list_transform(embedding, lambda x: printf('%.{}f', CAST(x AS DOUBLE))), ', ') AS s FROM read_parquet('{}/t/*.parquet') ORDER BY vec_id"
     want = [r[0] for r in duckdb.connect().execute(sql.format(6, tmp_path)).fetchall()]
+    datasets.export_csv(df, str(tmp_path / "csv"))
     datasets.export_json_lines(df, str(tmp_path / "lines"))
     datasets.export_json(df, str(tmp_path / "a.json"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "csv")).collect()) == sorted(s.replace(", ", ",") for s in want)
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == sorted(f"[{s}]" for s in want)
     assert [x.strip().rstrip(",") for x in open(tmp_path / "a.json").read().splitlines()[1:-1]] == [f"[{s}]" for s in want]
     four = spark.createDataFrame([(0, [1 / 32, 3 / 32, 5 / 32])], "vec_id long, embedding array<float>").select(T.format_vector("embedding", 3).alias("s"))
