@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,19 +35,22 @@ CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
-#: Chunks between white space, and runs of letters or marks, that a worker remembers.
-REMEMBERED = 200_000
+#: Pre-tokens that a worker remembers, of texts in Latin-1; and chunks between white space of other texts.
+REMEMBERED, REMEMBERED_CHUNKS = 600_000, 100_000
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's for the whole text.
 
-    The tokenizer's pre-tokens never cross white space, so chunks between spaces and newlines are encoded alone and remembered.
-    Most chunks are a run of letters, then one of marks, which are pre-tokens of their own; the tokenizer's model takes those
-    directly. Any other chunk goes through the whole tokenizer."""
+    In a text of Latin-1 only, the normalizer does nothing but lower letters and take white space together, so one regular
+    expression over the lowered text gives the pre-tokens; the tokenizer's model takes those it has not met lately. Pre-tokens
+    never cross white space, so a text with other characters is cut there: its chunks of Latin-1 are encoded likewise, any other
+    chunk, and one that may hold an added token, goes through the whole tokenizer."""
 
-    #: Letters that the normalizer only lowers, and marks without an apostrophe.
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!;:?|%$&*#]*)", re.ASCII)
+    letters, digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+    #: The pre-tokenizer's pattern, with the letters (lowered), numbers and white space of Latin-1; the commonest come first, as
+    #: only marks and contractions can begin alike.
+    pattern = re.compile(rf"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^\t-\r \x85\xa0{letters}{digits}]+")
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -54,24 +58,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.by_run = C.Recent(self.of_run, REMEMBERED)
-        self.by_chunk = C.Recent(self.of_chunk, REMEMBERED)
+        self.by_chunk = C.Recent(self.of_chunk, REMEMBERED_CHUNKS)
 
     def of_run(self, run: str) -> bytes:
-        mapped = run if run.isascii() else self.to_bytes(run)[0][0]
-        return np.asarray([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        mapped = run if run.isascii() and run.isprintable() else self.to_bytes(run)[0][0]
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def of_chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        if m := self.plain.fullmatch(chunk):
-            return (self.by_run[m[1].lower()] if m[1] else b"") + (self.by_run[m[2]] if m[2] else b"")
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if (data := self.of_latin(chunk)) is None:
+            return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return data
+
+    def of_latin(self, text: str) -> bytes | None:
+        """None for a text that has other characters or an added token."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if any(t in text for t in self.added):
+            return None
+        return b"".join(map(self.by_run.__getitem__, self.pattern.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.by_chunk.__getitem__, text.replace("\n", " ").split(" ")))
+        if (data := self.of_latin(text)) is None:
+            return b"".join(map(self.by_chunk.__getitem__, text.replace("\n", " ").split(" ")))
+        return data
 
 
 @lru_cache(maxsize=2)

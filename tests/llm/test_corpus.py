@@ -251,6 +251,18 @@ def test_encoder_equals_tokenizer():
     for t in ["It's we're <|endoftext|> x<|endoftext|>y", "ﬁ ÀÉ ǅ Σας ΣΑΣ á b ́c", "日本 123 4.5", "a\tb c d \x1c e", "!!! ...' 's", "İstanbul ß ſ", " ", "", "x\n\ny"]:
         assert e.encode(t) == np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
+def test_encoder_needs_the_whole_tokenizer_for_other_characters_only():
+    """Digits, contractions, quotes and controls of Latin-1 are encoded without it, as it would."""
+    P = pytest.importorskip("public_tokenizers")
+    e, rng = packing.Encoder(P.path("word_bpe_49k.json")), random.Random(5)
+    characters = [*map(chr, range(256)), *([*"abcstdmlreDV''''  \n.,0123", "'LL", "<|"] * 2)]
+    texts = ["Don't say \"we'LL\" at 12:30, l'été ½ µ\xa0x\x85y", *("".join(rng.choices(characters, k=30)) for _ in range(3000))]
+    mixed = [t + rng.choice(["İ", "K", "é", "中", "<|endoftext|>"]) + t[::-1] for t in texts[:500]]
+    want = {t: np.asarray(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts + mixed}
+    assert all(e.encode(t) == want[t] for t in mixed)
+    e.tokenizer = None
+    assert all(e.encode(t) == want[t] for t in texts)
+
 
 # 4
 
