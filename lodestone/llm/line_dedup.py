@@ -101,14 +101,20 @@ def similar(pairs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD) ->
     return pairs.filter(rough & exact).select("u", "v")
 
 
-def _first(band: DataFrame) -> DataFrame:
-    """(key, hub) of the keys that several names share: the place of the first of them."""
-    return band.groupBy("key").agg(F.min("place").alias("hub"), F.max("place").alias("last")).filter("hub <> last").select("key", "hub")
+def _bands(distinct: DataFrame) -> DataFrame:
+    """(name, place, key), dealt by key; what takes all of its columns reads the same shuffle."""
+    return distinct.select("name", "place", F.explode(F.flatten("keys")).alias("key")).filter("key is not null").repartition("key")
 
 
-def _met(band: DataFrame, first: DataFrame) -> DataFrame:
+def _shared(band: DataFrame, *apart: str) -> DataFrame:
+    """(key, hub) of the keys under which a column of ``apart`` has several values: the place of the first of them."""
+    ends = [x for c in apart for x in (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_z"))]
+    return band.groupBy("key").agg(F.min("place").alias("hub"), *ends).filter(" AND ".join(f"{c}_a <> {c}_z" for c in apart)).select("key", "hub")
+
+
+def _met(band: DataFrame, shared: DataFrame) -> DataFrame:
     """Of (key, name, place, ...) the rows of shared keys, with their hubs. These keys are few, so they are the side to build."""
-    return band.join(first.hint("shuffle_hash"), "key")
+    return band.join(shared.hint("shuffle_hash"), "key")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -125,11 +131,9 @@ def _several(rows: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tables: C.Tables) -> DataFrame:
     """(node, component) of the names that are linked; distinct: (name, place, keys)."""
-    band = distinct.select("name", "place", F.col("name").alias("class"), F.explode(F.flatten("keys")).alias("key")).filter("key is not null")
-    first = tables.keep(_first(band), "keys")
+    band = _bands(distinct)
+    met = tables.keep(_met(band, _shared(band, "name")).withColumn("class", F.col("name")), "met")
     tables.tidy()
-    met = tables.keep(_met(band, first), "met")
-    tables.drop(first)
     tried = tables.keep(_pairs(met), "pairs")
     wanted = tried.select(F.explode(F.array("u", "v")).alias("name")).distinct()
     texts = lines(docs).filter(_takes_part()).select(F.xxhash64("line").alias("name"), "line").join(wanted, "name", "left_semi").dropDuplicates(["name"])
@@ -154,7 +158,7 @@ def classes(docs: DataFrame, distinct: DataFrame, k: int, threshold: float, tabl
         finer = rest.select("name", "place", "class", "side", F.explode(later).alias("to")).filter("to.x is not null").select("name", "place", "class", "side", F.col("to.key").alias("key"), F.col("to.last").alias("last"))
         finer = tables.keep(finer, "finer")
         before = met
-        met, about = tables.observed(_met(finer.join(_several(finer), "key", "left_semi"), _first(finer)), "met")
+        met, about = tables.observed(_met(finer, _shared(finer, "place", "class")), "met")
         tables.drop(finer, before)
         if not about["n"]:
             break

@@ -914,3 +914,20 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
     bare = lambda t: " ".join(w for x in WORD.findall(t or "") if (w := x.strip(".,;:!?\"'()[]{}|*#$%&<>")))
     found = {i for i, t in before.items() for q in items if shingles(bare(q), 5) and 10 * len(shingles(bare(q), 5) & shingles(bare(t), 5)) >= 8 * len(shingles(bare(q), 5))}
     assert set(after) == set(before) - found and found
+
+
+def test_bands_of_lines_are_shuffled_once(spark, tmp_path):
+    """Counting the names of a key and joining them with its hub read one shuffle; before, each had its own."""
+    rows = [(n, n, [[n % 7, 100 + n % 5, None]]) for n in range(60)] + [(99, 99, [[1000, None, 1001]])]
+    spark.createDataFrame(rows, "name long, place long, keys array<array<long>>").write.parquet(str(tmp_path / "t"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        band = line_dedup._bands(spark.read.parquet(str(tmp_path / "t")))
+        met = line_dedup._met(band, line_dedup._shared(band, "name"))
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        got = {(r["key"], r["name"], r["hub"]) for r in met.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ReusedExchange") == 1  # it is shown with the one that it reads
+    assert got == {(n % 7, n, n % 7) for n in range(60)} | {(100 + n % 5, n, n % 5) for n in range(60)}
